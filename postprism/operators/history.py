@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,7 +21,7 @@ def unseen(history: DataFrame, collection: DataFrame, keys: Sequence[str]) -> Da
     return collection.join(seen, _equal("", "_seen_", keys), "left_anti")
 
 
-def _equal(left: str, right: str, keys: Sequence[str]):
+def _equal(left: str, right: str, keys: Sequence[str]) -> Column:
     condition = F.lit(True)
     for key in keys:
         condition = condition & F.col(f"{left}{key}").eqNullSafe(F.col(f"{right}{key}"))
@@ -35,15 +36,14 @@ def append_history(
     Earlier collections are never rewritten; each id is its own folder. Running the same id again replaces
     that folder only, so a collection that failed half-way can simply be repeated.
     """
-    columns = collection.columns
     layout = collection.withColumn("collection_id", F.lit(collection_id).cast("int")).schema
-    if collection_id > 1 or _exists(spark, path):
-        earlier = spark.read.schema(layout).parquet(path).where(F.col("collection_id") != collection_id)
-        collection = unseen(earlier.select(*columns), collection, keys)
+    try:
+        history = spark.read.schema(layout).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        earlier = history.where(F.col("collection_id") != collection_id)
+        collection = unseen(earlier.select(*collection.columns), collection, keys)
     collection.write.mode("overwrite").parquet(f"{path}/collection_id={collection_id}")
     return spark.read.schema(layout).parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)

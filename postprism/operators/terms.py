@@ -13,9 +13,8 @@ AMBIGUOUS = (
     "unify", "sas", "swift", "ruby", "julia", "dart", "crystal", "chef", "puppet",
 )
 
-# Characters that may not stand before and after a term.
-BEFORE_TERM = "[A-Za-z0-9+#.]"
-AFTER_TERM = "[A-Za-z0-9+#]"
+# Signs that may not stand before and after a term.
+_BEFORE, _AFTER = "[a-z0-9+#.]", "[a-z0-9+#]"
 
 # Up to this many terms the vocabulary is sent to every executor (some 200 bytes per term).
 BROADCAST_TERMS = 50_000
@@ -32,20 +31,31 @@ def _folded(text: Column) -> Column:
     return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
 
 
+# The first run of letters and digits in a stretch of letters, digits and + # . with the signs before it and one
+# + or # after it. Where a text holds a term within its bounds, each token of the term is a token of the text.
+_TOKEN = f"(?<!{_BEFORE})[+#.]*[a-z0-9]+[+#]?"
+_SIGN = r"[^a-z0-9\s]"
+
+
+def _all_of(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
 def _anchor(term: Column) -> Column:
-    """The token by which texts are looked up: the term's longest run of letters and digits, else its first sign.
+    """The token by which texts are looked up: the folded term's longest token, else its first sign."""
+    longest = F.reduce(
+        _all_of(term, _TOKEN), F.lit(""), lambda best, one: F.when(F.length(one) > F.length(best), one).otherwise(best)
+    )
+    return F.when(longest != "", longest).otherwise(F.get(_all_of(term, _SIGN), F.lit(0)))
 
-    The signs allowed around a term exclude letters and digits, so each of the term's runs is a whole run
-    of any text that holds the term: looking up one run loses no match.
-    """
-    runs = F.regexp_extract_all(_folded(term), F.lit("([a-z0-9]+)"), F.lit(1))
-    longest = F.reduce(runs, F.lit(""), lambda best, run: F.when(F.length(run) > F.length(best), run).otherwise(best))
-    return F.when(longest != "", longest).otherwise(F.substring(_folded(F.trim(term)), 1, 1))
 
+def _bounded(term: Column) -> Column:
+    """Pattern of a folded term within its bounds.
 
-def _pattern(term: Column) -> Column:
+    The term comes first, so a text is scanned for it as plain text and its bounds are looked at only there.
+    """
     quoted = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    return F.concat(F.lit(f"(?iu)(?<!{BEFORE_TERM})"), quoted, F.lit(f"(?!{AFTER_TERM})"))
+    return F.concat(quoted, F.lit(f"(?<!{_BEFORE}"), quoted, F.lit(f")(?!{_AFTER})"))
 
 
 def extract_terms(
@@ -58,15 +68,18 @@ def extract_terms(
     """Pairs (id, skill_id) of a text and a term found in it, each pair once.
 
     ``vocabulary`` holds skill_id and skills (the term). A text's distinct tokens are joined to the terms'
-    anchors; only the candidates are checked with the bounded pattern, so cost follows the candidates, not
-    texts x terms, and overlapping terms are all found.
+    anchors, so cost follows the matches, not texts x terms, and overlapping terms are all found. A term that is
+    one token is found by the join alone; only longer ones are then checked in the text.
 
     A vocabulary of checked size is broadcast: tokens are looked up where the text is read, nothing is
-    shuffled. A larger one is joined by shuffle on narrow (id, token) rows, and the texts are joined back
-    for the check.
+    shuffled. A larger one is joined by shuffle on narrow (id, token) rows, and texts are joined back only to
+    the candidates that need the check.
     """
-    terms = vocabulary.where(F.trim("skills") != "").select(
-        "skill_id", _anchor(F.col("skills")).alias("anchor"), _pattern(F.col("skills")).alias("pattern")
+    terms = (
+        vocabulary.where(F.trim("skills") != "")
+        .select("skill_id", _folded(F.trim("skills")).alias("term"))
+        .select("skill_id", "term", _bounded(F.col("term")).alias("pattern"), _anchor(F.col("term")).alias("anchor"))
+        .withColumn("whole", (F.col("term") == F.col("anchor")) & F.col("anchor").rlike("^[a-z0-9]+$"))
     )
     size = (
         terms.limit(broadcast_terms + 1)
@@ -74,17 +87,18 @@ def extract_terms(
         .first()
     )
     small = size["n"] <= broadcast_terms
-    # Single signs are tokens only if some term has no letter or digit.
-    token = "([a-z0-9]+)" if small and size["signs"] == 0 else r"([a-z0-9]+|[^a-z0-9\s])"
-    tokens = F.array_distinct(F.regexp_extract_all(_folded(F.col(text_column)), F.lit(token), F.lit(1)))
-    found = F.regexp_like(F.col(text_column), F.col("pattern"))
+    folded = texts.select(id_column, _folded(F.col(text_column)).alias("folded"))
+    tokens = _all_of(F.col("folded"), _TOKEN)
+    if not small or size["signs"]:
+        # Some term may have no letter or digit: single signs are tokens too.
+        tokens = F.concat(tokens, _all_of(F.col("folded"), _SIGN))
+    tokens = F.explode(F.array_distinct(tokens)).alias("anchor")
+    holds = F.contains("folded", "term") & F.regexp_like("folded", "pattern")
     if small:
-        tokenised = texts.select(id_column, text_column, F.explode(tokens).alias("anchor"))
-        return tokenised.join(F.broadcast(terms), "anchor").where(found).select(id_column, "skill_id")
-    candidates = texts.select(id_column, F.explode(tokens).alias("anchor")).join(terms, "anchor")
+        found = folded.select(id_column, "folded", tokens).join(F.broadcast(terms), "anchor")
+        return found.where(F.col("whole") | holds).select(id_column, "skill_id")
+    candidates = folded.select(id_column, tokens).join(terms, "anchor")
+    longer = candidates.where(~F.col("whole")).select(id_column, "skill_id", "term", "pattern").join(folded, id_column)
     return (
-        candidates.select(id_column, "skill_id", "pattern")
-        .join(texts.select(id_column, text_column), id_column)
-        .where(found)
-        .select(id_column, "skill_id")
+        candidates.where("whole").select(id_column, "skill_id").unionByName(longer.where(holds).select(id_column, "skill_id"))
     )

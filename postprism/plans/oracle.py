@@ -55,14 +55,14 @@ top_jobs AS (
   ORDER BY f.salary_year_avg DESC, f.job_id LIMIT 10)"""
 
 
-def _demand(cte: str = "", fact: str = "job_postings_fact") -> str:
+def _demand(fact: str = "job_postings_fact") -> str:
     return f"""
     SELECT s.skills AS skill, COUNT(DISTINCT sj.job_id) AS postings,
       ROUND(100.0 * COUNT(DISTINCT sj.job_id) / MAX(p.n), 1) AS share_of_pct
     FROM {fact} f JOIN skills_job_dim sj ON sj.job_id = f.job_id JOIN skills_dim s ON s.skill_id = sj.skill_id
     CROSS JOIN (SELECT COUNT(DISTINCT sj.job_id) AS n FROM {fact} f
                 JOIN skills_job_dim sj ON sj.job_id = f.job_id WHERE {REMOTE}) p
-    WHERE {REMOTE} {cte}
+    WHERE {REMOTE}
     GROUP BY s.skills"""
 
 
@@ -224,15 +224,20 @@ usable AS (
   WHERE skills NOT IN ({_AMBIGUOUS}) AND NOT (length(skills) < 3 AND regexp_matches(skills, '^\\pL+$')))"""
 
 
+def _marked(text: str) -> str:
+    """Text with chr(1) where a term may start and chr(2) where one may end, judged by the neighbouring sign."""
+    outside = f"regexp_replace(lower({text}), '([^a-z0-9+#.])', chr(2) || '\\1' || chr(1), 'g')"
+    return f"chr(1) || replace({outside}, '.', chr(2) || '.') || chr(2)"
+
+
 def _found(texts: str, key: str) -> str:
-    """Every text against every term."""
+    """Every text against every term: a marked text holds the marked term."""
     return f"""
-    SELECT t.{key}, u.skill_id FROM {texts} t JOIN usable u
-      ON contains(lower(t.text), u.skills)
-     AND regexp_matches(t.text, '(?i)(^|[^A-Za-z0-9+#.])' || regexp_escape(u.skills) || '($|[^A-Za-z0-9+#])')"""
+    SELECT t.{key}, u.skill_id FROM (SELECT {key}, {_marked("text")} AS marked FROM {texts}) t
+    JOIN (SELECT skill_id, {_marked("skills")} AS marked FROM usable) u ON contains(t.marked, u.marked)"""
 
 
-_PAGE_FIELDS = f"""nullif({_plain(TITLE)}, '') AS title, nullif(regexp_extract(url, '^https?://([^/]+)/', 1), '') AS company,
+_PAGE_FIELDS = f"""nullif(trim({TITLE}, {_SPACE}), '') AS title, nullif(regexp_extract(url, '^https?://([^/]+)/', 1), '') AS company,
   nullif(regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1), '') AS location"""
 
 

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from postprism.functions.text import clean_text, joined, strip_markup
 from postprism.schemas import FEED_RECORD
 
+# Up to this many files per feed their numbers are sent to every executor (some 200 bytes per name).
+BROADCAST_FILES = 100_000
+
 # Order of arrival in one number: feed, file within the feed, item within the file.
 _FEED_BITS, _FILE_BITS, _ITEM_BITS = 7, 28, 28
 
@@ -117,24 +120,26 @@ def read_feed(spark: SparkSession, path: str, source: str, feed: Feed, feed_rank
     Files are taken in path order, items in list order; list items are numbered by ``posexplode`` because row
     order in Spark is not stable. A file that is no such JSON yields no records.
     """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        "value", F.input_file_name().alias("file")
-    )
-    # As many names as files, which the driver lists anyway; the texts stay where they are.
-    numbers = files.select("file").distinct().select(
-        "file", F.row_number().over(Window.orderBy("file")).alias("file_no")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    names = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("_metadata.file_path")
     )
-    items = files.select("file", F.from_json("value", feed.payload).alias("payload")).select(
-        "file", F.posexplode(feed.items).alias("item_no", "item")
+    # A window over the names only, which the driver holds anyway as the file listing; contents are not read.
+    numbers = names.select("file_path", F.row_number().over(Window.orderBy("file_path")).alias("file_no"))
+    if len(files.inputFiles()) <= BROADCAST_FILES:
+        numbers = F.broadcast(numbers)
+    items = (
+        files.select("_metadata.file_path", F.from_json("value", feed.payload).alias("payload"))
+        .select("file_path", F.posexplode(feed.items).alias("item_no", "item"))
+        .join(numbers, "file_path")
     )
     if feed.skip_first:
         items = items.where(F.col("item_no") > 0)
-    records = items.join(numbers, "file").select(
+    return items.select(
         arrival_number(feed_rank, F.col("file_no"), F.col("item_no")).alias("arrival"),
         F.lit(source).alias("source"),
         *[feed.fields[field.name].alias(field.name) for field in FEED_RECORD if field.name != "source"],
     )
-    return records
 
 
 def read_feeds(spark: SparkSession, paths: Mapping[str, str]) -> tuple[DataFrame | None, dict[str, str]]:
