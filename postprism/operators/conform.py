@@ -12,6 +12,7 @@ from postprism.functions.dates import posting_time
 from postprism.functions.measures import ratio_pct
 from postprism.functions.text import OTHER_ROLE, ROLE_TERMS, TITLE_RULES, classify_title, matches_role
 from postprism.operators.keys import first_seen_dimension, surrogate_key
+from postprism.operators.lookup import lookup_join
 from postprism.operators.population import with_scalar
 from postprism.operators.terms import extract_terms, usable_vocabulary
 from postprism.schemas import FACT
@@ -86,7 +87,9 @@ def conform_fact(
         "search_location": F.col("location"),
         "job_posted_date": F.coalesce(posting_time(F.col("posted")), stamp) if keep_posted else stamp,
     }
-    named = postings.drop("text").withColumn("name", F.coalesce("company", F.lit("Unknown"))).join(company, "name")
+    named = lookup_join(
+        postings.drop("text").withColumn("name", F.coalesce("company", F.lit("Unknown"))), company, "name"
+    )
     return named.select(
         *[columns.get(field.name, F.lit(None)).cast(field.dataType).alias(field.name) for field in FACT]
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postprism.operators.keys import surrogate_key
+from postprism.operators.lookup import lookup_join
 from postprism.operators.population import with_scalar
 from postprism.schemas import FACT, POSTING_COLUMNS
 from postprism.star import Star
@@ -61,35 +62,34 @@ def skill_dimension(pairs: DataFrame) -> DataFrame:
 def build_fact(postings: DataFrame, company: DataFrame) -> DataFrame:
     """Postings with their company id; those without a company drop out.
 
-    A company on a third of all postings is a skewed join key: below the broadcast threshold nothing is
-    shuffled, above it adaptive execution splits the heavy partition.
+    A company may hold a third of all postings, hence the lookup join.
     """
     named = company.select("company_id", F.col("name").alias("company_name"))
     columns = [F.col(field.name).cast(field.dataType).alias(field.name) for field in FACT]
-    return postings.select("job_id", "company_name", *POSTING_COLUMNS).join(named, "company_name").select(*columns)
+    return lookup_join(postings.select("job_id", "company_name", *POSTING_COLUMNS), named, "company_name").select(*columns)
 
 
-def build_bridge(pairs: DataFrame, skill: DataFrame, fact: DataFrame) -> DataFrame:
-    """Unique (posting, skill) ids of loaded postings.
+def build_bridge(postings: DataFrame, skill: DataFrame, fact: DataFrame | None = None) -> DataFrame:
+    """Unique (posting, skill) ids; with ``fact`` only of the postings it holds.
 
-    Names are unique in the skill dimension, so distinct (posting, name) pairs stay distinct as ids. The pairs are
-    made distinct before the join; map-side this removes the repeats of a posting.
+    Postings are filtered before their lists are decoded, and repeats lie inside one posting's own list, so the
+    many pairs are neither shuffled nor compared. Names are unique in the skill dimension.
     """
-    loaded = pairs.distinct().join(fact.select("job_id"), "job_id", "left_semi")
-    return loaded.join(skill, "skills").select("job_id", "skill_id")
+    lists = postings.select("job_id", "job_skills")
+    if fact is not None:
+        lists = lists.join(fact.select("job_id"), "job_id", "left_semi")
+    return lookup_join(explode_skills(lists, unique=True), skill, "skills").select("job_id", "skill_id")
 
 
 def build_star(rows: DataFrame) -> tuple[Star, DataFrame]:
     """Star of denormalised rows, and the keyed postings it came from.
 
-    Uses two facts to spare the largest table a shuffle: repeats of a pair lie inside one row's list, and the
-    loaded postings are those with a company name.
+    Loaded postings are those with a company name, which spares the bridge a join with the fact.
     """
     postings = key_postings(full_row_dedup(rows))
     company = company_dimension(postings)
     skill = skill_dimension(explode_skills(postings))
-    loaded = postings.where(F.col("company_name").isNotNull())
-    bridge = explode_skills(loaded, unique=True).join(skill, "skills").select("job_id", "skill_id")
+    bridge = build_bridge(postings.where(F.col("company_name").isNotNull()), skill)
     return Star(build_fact(postings, company), company, skill, bridge), postings
 
 

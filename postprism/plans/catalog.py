@@ -60,11 +60,15 @@ def _built(spark: SparkSession, folder: str) -> tuple[Star, DataFrame]:
     return prepare.build_star(testdata.wide_rows(spark, folder))
 
 
+def _fact(spark: SparkSession, folder: str) -> DataFrame:
+    keyed = _keyed(spark, folder)
+    return prepare.build_fact(keyed, prepare.company_dimension(keyed))
+
+
 def _bridge(spark: SparkSession, folder: str) -> DataFrame:
     keyed = _keyed(spark, folder)
-    pairs = prepare.explode_skills(keyed)
-    fact = prepare.build_fact(keyed, prepare.company_dimension(keyed))
-    return prepare.build_bridge(pairs, prepare.skill_dimension(pairs), fact)
+    skill = prepare.skill_dimension(prepare.explode_skills(keyed))
+    return prepare.build_bridge(keyed, skill, prepare.build_fact(keyed, prepare.company_dimension(keyed)))
 
 
 def _load_audit(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,8 +158,10 @@ def _changed_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = testdata.table(spark, folder, "events").schema
-    return intake.landed_files(spark, folder, schema, pattern="events.parquet")
+    events = testdata.table(spark, folder, "events")
+    # The table is one file in the folder or a folder of its own.
+    parent, name = events.inputFiles()[0].rsplit("/", 1)
+    return intake.landed_files(spark, parent, events.schema, name if name == "events.parquet" else "*.parquet")
 
 
 def _stream_intake(spark: SparkSession, folder: str) -> DataFrame:
@@ -230,12 +236,12 @@ def queries() -> dict[str, Query]:
         "write_star": _star_files,
         "surrogate_key": lambda spark, folder: _plain(_keyed(spark, folder)),
         "company_dimension": lambda spark, folder: prepare.company_dimension(testdata.wide_rows(spark, folder)),
-        "skill_dimension": lambda spark, folder: _built(spark, folder)[0].skill,
+        "skill_dimension": lambda spark, folder: prepare.skill_dimension(prepare.explode_skills(_keyed(spark, folder))),
         "explode_skills": lambda spark, folder: prepare.explode_skills(_keyed(spark, folder)),
-        "build_fact": lambda spark, folder: _plain(_built(spark, folder)[0].fact),
+        "build_fact": lambda spark, folder: _plain(_fact(spark, folder)),
         "build_bridge": _bridge,
         "load_audit": _load_audit,
-        "date_span": lambda spark, folder: prepare.date_span(_built(spark, folder)[0].fact),
+        "date_span": lambda spark, folder: prepare.date_span(_fact(spark, folder)),
         # Feeds
         "clean_text": _on_table(
             "pages",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postprism.functions.measures import share_pct
-from postprism.operators.population import MAIN_ROLE, population, step_size, with_scalar, population_funnel
+from postprism.operators.population import MAIN_ROLE, population, with_scalar
 from postprism.operators.terms import AMBIGUOUS
 from postprism.plans.pay import top_paid
 from postprism.star import Star
@@ -16,13 +16,13 @@ from postprism.star import Star
 LEADER_SHARE = 30.0
 
 
-def _demand(postings: DataFrame, star: Star, share: str) -> DataFrame:
+def _demand(postings: DataFrame, star: Star, share: str, whole: str | None = None) -> DataFrame:
     """Postings per skill and their share of the postings that list any skill: skill, postings, ``share``.
 
     The bridge is read and shuffled once for both numbers: a posting's skills are gathered (a list no
     longer than the vocabulary), and each posting adds one NULL entry that counts the posting itself.
     Pairs are unique, so counting rows equals counting distinct postings. Counts are per skill id;
-    the name is joined to the finished counts.
+    the name is joined to the finished counts. ``whole`` keeps the denominator as a column of that name.
     """
     listed = postings.select("job_id").join(star.bridge, "job_id").groupBy("job_id").agg(F.collect_list("skill_id").alias("ids"))
     counts = (
@@ -31,11 +31,16 @@ def _demand(postings: DataFrame, star: Star, share: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("postings"))
     )
     # One row per skill: the single-task window sees the vocabulary, never the postings.
-    whole = F.max(F.when(F.col("skill_id").isNull(), F.col("postings"))).over(Window.partitionBy())
+    size = F.max(F.when(F.col("skill_id").isNull(), F.col("postings"))).over(Window.partitionBy())
     return (
-        counts.withColumn("_whole", whole)
+        counts.withColumn("_whole", size)
         .join(star.skill, "skill_id")
-        .select(F.col("skills").alias("skill"), "postings", share_pct(F.col("postings"), F.col("_whole")).alias(share))
+        .select(
+            F.col("skills").alias("skill"),
+            "postings",
+            share_pct(F.col("postings"), F.col("_whole")).alias(share),
+            *([F.col("_whole").alias(whole)] if whole else []),
+        )
     )
 
 
@@ -90,36 +95,34 @@ def demand_leaders(table: DataFrame, cut: float = LEADER_SHARE) -> DataFrame:
 def compare_tables(base: DataFrame, new: DataFrame, excluded: Iterable[str] = AMBIGUOUS) -> DataFrame:
     """Two demand tables side by side; a skill on one side only has share 0 on the other.
 
-    Excluded terms are left out of both sides, as one side's method cannot see them.
+    Excluded terms are left out of both sides, as one side's method cannot see them. Further columns of the
+    tables are kept.
     """
     drop = sorted(excluded)
 
     def side(table: DataFrame, name: str) -> DataFrame:
         kept = table.where(~F.col("skill").isin(drop)) if drop else table
-        return kept.select(
-            "skill", F.col("postings").alias(f"postings_{name}"), F.col("share_of_pct").alias(f"share_{name}")
-        )
+        return kept.withColumnsRenamed({"postings": f"postings_{name}", "share_of_pct": f"share_{name}"})
 
     both = side(base, "base").join(side(new, "new"), "skill", "full_outer")
-    shares = [F.coalesce(F.col(f"share_{name}"), F.lit(0.0)).alias(f"share_{name}") for name in ("base", "new")]
-    return both.select("skill", "postings_base", "postings_new", *shares).withColumn(
-        "rank_on", F.greatest("share_base", "share_new")
-    )
+    shares = {f"share_{name}": F.coalesce(F.col(f"share_{name}"), F.lit(0.0)) for name in ("base", "new")}
+    return both.withColumns(shares).withColumn("rank_on", F.greatest("share_base", "share_new"))
 
 
 def compare_demand(
     base: Star, new: Star, role: str = MAIN_ROLE, excluded: Iterable[str] = AMBIGUOUS, k: int = 10
 ) -> DataFrame:
-    """The k skills with the larger share on either side, with both denominators from the funnels."""
-    merged = compare_tables(_demand_table(base, role), _demand_table(new, role), excluded)
-    step = f"{role.lower()}, remote, with skills"
-    sizes = with_scalar(
-        step_size(population_funnel(base, role), step).withColumnRenamed("postings", "n_base"),
-        step_size(population_funnel(new, role), step).withColumnRenamed("postings", "n_new"),
-    )
-    top = merged.orderBy(F.desc("rank_on"), F.asc("skill")).limit(k)
-    return with_scalar(top, sizes).orderBy(F.desc("rank_on"), F.asc("skill"))
-
+    """The k skills with the larger share on either side, with both denominators.
 
-def _demand_table(star: Star, role: str) -> DataFrame:
-    return _demand(population(star.fact, role), star, "share_of_pct")
+    The denominators are the funnels' "remote, with skills" sizes. Each dataset's bridge is read once: the sizes
+    come with the demand tables.
+    """
+    sides = [
+        _demand(population(star.fact, role), star, "share_of_pct", whole=size)
+        for star, size in ((base, "n_base"), (new, "n_new"))
+    ]
+    every = Window.partitionBy()  # one row per skill
+    merged = compare_tables(*sides, excluded)
+    sizes = {size: F.coalesce(F.max(size).over(every), F.lit(0)) for size in ("n_base", "n_new")}
+    columns = ["skill", "postings_base", "postings_new", "share_base", "share_new", "rank_on", "n_base", "n_new"]
+    return merged.withColumns(sizes).select(*columns).orderBy(F.desc("rank_on"), F.asc("skill")).limit(k)

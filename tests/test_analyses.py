@@ -7,7 +7,7 @@ import pytest
 from conftest import as_tuples
 from pyspark.sql import functions as F
 
-from postprism.operators.population import population_funnel
+from postprism.operators.population import population_funnel, step_size
 from postprism.plans import calendar, demand, pay, quality, trend
 from postprism.schemas import BRIDGE, COMPANY, FACT, SKILL
 from postprism.sources import testdata
@@ -168,6 +168,8 @@ def test_comparison_of_two_datasets(star, unpaid):
     newer = unpaid.with_fact(unpaid.fact.where("job_id in (3, 6, 7)"))
     got = as_tuples(demand.compare_demand(star, newer, excluded=("sql",)))
     assert got == [("excel", 3, 1, 50.0, 50.0, 50.0, 6, 2), ("python", 1, 1, 16.7, 50.0, 50.0, 6, 2)]
+    for side, size in ((star, 6), (newer, 2)):
+        assert as_tuples(step_size(population_funnel(side), "data analyst, remote, with skills")) == [(size,)]
 
 
 def test_calendar(spark):
