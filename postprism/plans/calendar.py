@@ -42,6 +42,11 @@ def postings_per_month(postings: DataFrame, posted: str = "job_posted_date", zon
     )
 
 
+def first_rows(postings: DataFrame, columns: Sequence[str], order_by: Sequence[str], k: int = 10) -> DataFrame:
+    """A look at the first k rows in a stated order."""
+    return postings.select(*columns).orderBy(*[F.asc_nulls_last(name) for name in order_by]).limit(k)
+
+
 def date_parts(postings: DataFrame, posted: str = "job_posted_date", zone: str = "EST") -> DataFrame:
     """The rows with local time in a zone and week, month and year of the recorded time."""
     ts = F.col(posted)

@@ -202,6 +202,8 @@ def queries() -> dict[str, Query]:
         "skill_demand_all": _on_star(lambda star: demand.skill_demand_all(star, ROLE)),
         "remote_skill_count": _on_star(lambda star: demand.remote_skill_count(star, ROLE)),
         "demand_leaders": _on_star(lambda star: demand.demand_leaders(demand.skill_demand_all(star, ROLE), cut=3.0)),
+        "top_paying_marked": _on_star(lambda star: demand.mark_top(pay.top_paying(star, ROLE), "salary_year_avg")),
+        "skills_in_top_marked": _on_star(lambda star: demand.mark_common(demand.skills_in_top(star, ROLE), 2)),
         "compare_demand": _on_star(
             lambda star: demand.compare_demand(*_halves(star), ROLE, excluded=("Brand#1 LARGE", "Brand#2 SMALL"))
         ),
@@ -223,6 +225,9 @@ def queries() -> dict[str, Query]:
         "insured_by_company": _on_star(calendar.insured_by_company),
         "avg_by_schedule": _on_star(lambda star: calendar.avg_by_schedule(star, after="1996-06-01")),
         "postings_per_month": _on_table("events", lambda events: calendar.postings_per_month(events, "ts")),
+        "first_rows": _on_table(
+            "events", lambda events: calendar.first_rows(events, ["event_id", "ts"], ["ts", "event_id"])
+        ),
         "date_parts": _on_table("events", lambda events: calendar.date_parts(events.select("event_id", "ts"), "ts")),
         "month_partition": _by_month,
         "month_union": _on_star(lambda star: calendar.month_union(star.fact)),

@@ -13,7 +13,9 @@ from postprism.operators.terms import AMBIGUOUS
 from postprism.plans.pay import top_paid
 from postprism.star import Star
 
+# Share of a leading skill in percent, postings of a common one.
 LEADER_SHARE = 30.0
+COMMON_POSTINGS = 4
 
 
 def _demand(postings: DataFrame, star: Star, share: str, whole: str | None = None) -> DataFrame:
@@ -74,19 +76,30 @@ def remote_skill_count(star: Star, role: str = MAIN_ROLE, k: int = 5) -> DataFra
     return top.orderBy(F.desc("skill_count"), F.asc("skill_id")).limit(k)
 
 
+def mark_top(table: DataFrame, column: str) -> DataFrame:
+    """A result table with its highest rows by a column marked ``is_top``."""
+    return with_scalar(table, table.agg(F.max(column).alias("_most"))).select(
+        *table.columns, (F.col(column) == F.col("_most")).alias("is_top")
+    )
+
+
+def mark_common(table: DataFrame, at_least: int = COMMON_POSTINGS) -> DataFrame:
+    """A result table with the skills of enough postings marked ``is_common``."""
+    return table.withColumn("is_common", F.col("postings") >= at_least)
+
+
 def demand_leaders(table: DataFrame, cut: float = LEADER_SHARE) -> DataFrame:
     """Mark the skills of a demand table at or above a share, and the most wanted one.
 
     ``leaders`` is the number of marked skills, repeated on each row for use in a headline.
     """
-    marks = table.agg(
-        F.count_if(F.col("share_of_pct") >= cut).alias("leaders"), F.max("postings").alias("_most")
-    )
+    leads = F.col("share_of_pct") >= cut
+    marks = table.agg(F.count_if(leads).alias("leaders"), F.max("postings").alias("_most"))
     return with_scalar(table, marks).select(
         "skill",
         "postings",
         "share_of_pct",
-        (F.col("share_of_pct") >= cut).alias("is_leader"),
+        leads.alias("is_leader"),
         (F.col("postings") == F.col("_most")).alias("is_top"),
         "leaders",
     )

@@ -244,12 +244,26 @@ _PAGE_FIELDS = f"""nullif(trim({TITLE}, {_SPACE}), '') AS title, nullif(regexp_e
 def oracle_sql() -> dict[str, str]:
     older = "older AS (SELECT * FROM job_postings_fact WHERE job_posted_date < TIMESTAMP '1998-04-15 00:00:00')"
     newer = "newer AS (SELECT * FROM job_postings_fact WHERE job_posted_date >= TIMESTAMP '1998-04-15 00:00:00')"
-    texts = {
+    return {
         "top_paying": f"""WITH {STAR}
             SELECT f.job_id, f.job_title, c.name AS company_name, f.job_schedule_type,
               CAST(f.salary_year_avg AS DOUBLE) AS salary_year_avg, CAST(f.job_posted_date AS DATE) AS job_posted_date
             FROM job_postings_fact f JOIN company_dim c ON c.company_id = f.company_id
             WHERE {PAID} ORDER BY f.salary_year_avg DESC, f.job_id LIMIT 10""",
+        "top_paying_marked": f"""WITH {STAR}, t AS (
+              SELECT f.job_id, f.job_title, c.name AS company_name, f.job_schedule_type,
+                CAST(f.salary_year_avg AS DOUBLE) AS salary_year_avg, CAST(f.job_posted_date AS DATE) AS job_posted_date
+              FROM job_postings_fact f JOIN company_dim c ON c.company_id = f.company_id
+              WHERE {PAID} ORDER BY f.salary_year_avg DESC, f.job_id LIMIT 10)
+            SELECT *, salary_year_avg = (SELECT MAX(salary_year_avg) FROM t) AS is_top FROM t""",
+        "skills_in_top_marked": f"""WITH {STAR}, {TOP},
+            listed AS (SELECT COUNT(DISTINCT sj.job_id) AS n FROM top_jobs t JOIN skills_job_dim sj ON sj.job_id = t.job_id)
+            SELECT s.skills AS skill, COUNT(DISTINCT sj.job_id) AS postings,
+              ROUND(100.0 * COUNT(DISTINCT sj.job_id) / MAX(w.n), 1) AS coverage_pct,
+              COUNT(DISTINCT sj.job_id) >= 2 AS is_common
+            FROM top_jobs t JOIN skills_job_dim sj ON sj.job_id = t.job_id
+            JOIN skills_dim s ON s.skill_id = sj.skill_id CROSS JOIN listed w
+            GROUP BY s.skills ORDER BY postings DESC, skill LIMIT 15""",
         "skills_in_top": f"""WITH {STAR}, {TOP},
             listed AS (SELECT COUNT(DISTINCT sj.job_id) AS n FROM top_jobs t JOIN skills_job_dim sj ON sj.job_id = t.job_id)
             SELECT s.skills AS skill, COUNT(DISTINCT sj.job_id) AS postings,
@@ -347,6 +361,7 @@ def oracle_sql() -> dict[str, str]:
         "postings_per_month": """
             SELECT EXTRACT(MONTH FROM ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York') AS job_posted_month,
               COUNT(event_id) AS job_count FROM events GROUP BY 1""",
+        "first_rows": "SELECT event_id, ts FROM events ORDER BY ts, event_id LIMIT 10",
         "date_parts": """
             SELECT event_id, ts, ts AT TIME ZONE 'UTC' AT TIME ZONE 'EST' AS date_time, EXTRACT(WEEK FROM ts) AS date_week,
               EXTRACT(MONTH FROM ts) AS date_month, EXTRACT(YEAR FROM ts) AS date_year FROM events""",
@@ -461,4 +476,3 @@ def oracle_sql() -> dict[str, str]:
             FROM r JOIN skills_job_dim sj ON sj.job_id = r.job_id JOIN skills_dim s ON s.skill_id = sj.skill_id
             JOIN n ON n.window_start = r.window_start GROUP BY r.window_start, s.skills""",
     }
-    return texts

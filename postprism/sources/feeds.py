@@ -114,11 +114,26 @@ def arrival_number(feed_rank: int, file_no: Column, item_no: Column) -> Column:
     return high + F.shiftleft(file_no.cast("bigint"), _ITEM_BITS) + item_no.cast("bigint")
 
 
+def _items(files: DataFrame, feed: Feed) -> DataFrame:
+    """One row per listed item of payload texts: file_path, item_no, item. A text that is no such JSON has none."""
+    items = files.select("_metadata.file_path", F.from_json("value", feed.payload).alias("payload")).select(
+        "file_path", F.posexplode(feed.items).alias("item_no", "item")
+    )
+    return items.where(F.col("item_no") > 0) if feed.skip_first else items
+
+
+def _nine_fields(source: str, feed: Feed) -> list[Column]:
+    return [
+        F.lit(source).alias(field.name) if field.name == "source" else feed.fields[field.name].alias(field.name)
+        for field in FEED_RECORD
+    ]
+
+
 def read_feed(spark: SparkSession, path: str, source: str, feed: Feed, feed_rank: int) -> DataFrame:
     """Records of one feed in the nine fields, with their ``arrival``.
 
     Files are taken in path order, items in list order; list items are numbered by ``posexplode`` because row
-    order in Spark is not stable. A file that is no such JSON yields no records.
+    order in Spark is not stable.
     """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     names = (
@@ -128,18 +143,22 @@ def read_feed(spark: SparkSession, path: str, source: str, feed: Feed, feed_rank
     numbers = names.select("file_path", F.row_number().over(Window.orderBy("file_path")).alias("file_no"))
     if len(files.inputFiles()) <= BROADCAST_FILES:
         numbers = F.broadcast(numbers)
-    items = (
-        files.select("_metadata.file_path", F.from_json("value", feed.payload).alias("payload"))
-        .select("file_path", F.posexplode(feed.items).alias("item_no", "item"))
+    return (
+        _items(files, feed)
         .join(numbers, "file_path")
+        .select(
+            arrival_number(feed_rank, F.col("file_no"), F.col("item_no")).alias("arrival"), *_nine_fields(source, feed)
+        )
     )
-    if feed.skip_first:
-        items = items.where(F.col("item_no") > 0)
-    return items.select(
-        arrival_number(feed_rank, F.col("file_no"), F.col("item_no")).alias("arrival"),
-        F.lit(source).alias("source"),
-        *[feed.fields[field.name].alias(field.name) for field in FEED_RECORD if field.name != "source"],
-    )
+
+
+def stream_feed(spark: SparkSession, path: str, source: str, files_per_batch: int | None = None) -> DataFrame:
+    """A feed's folder as a stream of records in the nine fields, with file_path and item_no."""
+    feed = feed_shapes()[source]
+    reader = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return _items(reader.text(path), feed).select("file_path", "item_no", *_nine_fields(source, feed))
 
 
 def read_feeds(spark: SparkSession, paths: Mapping[str, str]) -> tuple[DataFrame | None, dict[str, str]]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postprism.operators.population import population_funnel, step_size
 from postprism.plans import calendar, demand, pay, quality, trend
+from postprism.plans.report import write_report
 from postprism.schemas import BRIDGE, COMPANY, FACT, SKILL
 from postprism.sources import testdata
 from postprism.star import Star
@@ -220,3 +221,14 @@ def test_invariants(spark, folder):
     assert all(share == round(100 * n / listed, 1) for _, n, share in top)
     best = {row[0] for row in as_tuples(pay.pay_by_skill(star, role, min_postings=2, k=1000))}
     assert best == {row[0] for row in as_tuples(pay.demand_and_pay(star, role, min_postings=2, k=1000))}
+
+
+def test_one_report_for_any_dataset(star, unpaid, tmp_path):
+    paid = write_report(star, str(tmp_path / "paid"))
+    assert len(paid) == 13
+    # Too few postings for the pay floor; every other table has rows.
+    assert {name for name, filled in paid.items() if not filled} == {"pay_by_skill", "demand_and_pay"}
+    filled = {name for name, rows in write_report(unpaid, str(tmp_path / "unpaid")).items() if rows}
+    assert filled == {
+        "skill_demand_top", "skill_demand_all", "population_funnel", "flag_equivalence", "outlier_effect", "near_duplicates",
+    }

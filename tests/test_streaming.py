@@ -1,8 +1,13 @@
+import json
 from datetime import datetime, timedelta
 
 import pytest
 from conftest import as_tuples
+from pyspark.sql import functions as F
 
+from postprism.functions.dates import posting_time
+from postprism.operators.conform import posting_key
+from postprism.sources import feeds
 from postprism.streaming import intake
 
 SCHEMA = "event_id long, ts timestamp_ntz, item string"
@@ -75,3 +80,30 @@ def test_finished_windows_are_appended_once(spark, stream, tmp_path):
     counts = intake.window_counts(stream(), "ts", "item", "7 days", "1 hour")
     table = intake.run_to_table(counts, str(tmp_path / "out"), str(tmp_path / "state"))
     assert as_tuples(table) == [(START, "x", 1)]
+
+
+def test_feed_payloads_are_taken_as_they_land(spark, tmp_path):
+    """Intake of a feed under collection ids, and first arrivals per company and title across collections."""
+    folder = tmp_path / "remoteok"
+    folder.mkdir()
+
+    def payload(name, *titles):
+        items = [{"legal": "notice"}] + [{"position": title, "company": "Acme", "date": "2024-01-04"} for title in titles]
+        (folder / name).write_text(json.dumps(items))
+
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    payload("1.json", "Data Analyst", "BI Developer")
+    intake.append_stream(feeds.stream_feed(spark, str(folder), "remoteok"), out, state, 1)
+    payload("2.json", "data analyst", "Data Engineer")
+    intake.append_stream(feeds.stream_feed(spark, str(folder), "remoteok"), out, state, 2)
+    rows = as_tuples(spark.read.parquet(out), "collection_id", "item_no", "title", "remote")
+    assert sorted(rows) == [
+        (1, 1, "Data Analyst", True), (1, 2, "BI Developer", True), (2, 1, "data analyst", True), (2, 2, "Data Engineer", True),
+    ]
+
+    stream = feeds.stream_feed(spark, str(folder), "remoteok", files_per_batch=1).select(
+        "title", *posting_key(), posting_time(F.col("posted")).alias("ts")
+    )
+    first = intake.dedup_stream(stream, ["_company", "_title"], "ts", "30 days").select("_title")
+    table = intake.run_to_table(first, str(tmp_path / "first"), str(tmp_path / "first-state"))
+    assert sorted(as_tuples(table)) == [("bi developer",), ("data analyst",), ("data engineer",)]
