@@ -86,13 +86,18 @@ def skills(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def listed_skills(spark: SparkSession, folder: str) -> DataFrame:
-    """Unique (posting, skill) pairs."""
+    """Unique (posting, skill) pairs.
+
+    Gathered per posting, repeats dropped map-side, so the lines are shuffled once and by posting, which is also
+    how the analyses join them. A posting's list is no longer than the 150 skills.
+    """
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey")
     parts = _part_skills(spark, folder).select("p_partkey", "skill_id")
     return (
         lines.join(parts, lines.l_partkey == parts.p_partkey)
-        .select(F.col("l_orderkey").alias("job_id"), "skill_id")
-        .distinct()
+        .groupBy(F.col("l_orderkey").alias("job_id"))
+        .agg(F.collect_set("skill_id").alias("ids"))
+        .select("job_id", F.explode("ids").alias("skill_id"))
     )
 
 

@@ -80,3 +80,17 @@ def test_top_k_is_not_a_full_sort(spark, folder):
     star = testdata.star(spark, folder)
     assert "TakeOrderedAndProject(limit=10" in plan_of(pay.top_paying(star, testdata.MAIN_ROLE))
     assert "TakeOrderedAndProject(limit=10" in plan_of(quality.top_without_skills(star, testdata.MAIN_ROLE))
+
+
+def test_large_tables_are_shuffled_once_and_by_posting(spark, folder):
+    """Without broadcasts: one exchange by posting for the fact and one for the lines, no other pass over either."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        star = testdata.star(spark, folder)
+        plan = plan_of(demand.skill_demand_all(star, testdata.MAIN_ROLE))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(job_id#") == 1
+    assert plan.count("Exchange hashpartitioning(l_orderkey#") == 1
+    assert plan.count("FileScan parquet [l_orderkey") == 1
+    assert plan.count("FileScan parquet [o_orderkey") == 1
