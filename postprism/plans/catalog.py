@@ -258,6 +258,7 @@ def queries() -> dict[str, Query]:
             "pages", lambda pages: pages.select("page_id", strip_markup(F.col("html")).alias("text"))
         ),
         "conform_feed": _conform_feed,
+        "feed_audit": lambda spark, folder: feeds.feed_audit(spark, testdata.land_payloads(spark, folder)),
         "role_filter": lambda spark, folder: conform.role_filter(
             testdata.page_records(spark, folder), TITLE_WORDS
         ).select("arrival", "title"),

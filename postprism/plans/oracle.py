@@ -418,6 +418,13 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT 'himalayas', lang, source, CASE WHEN lang = 'en' THEN lang || '|' || source END, TRUE, NULL,
               CAST(n_chars AS VARCHAR), {_plain("text")}, 'doc:' || doc_id FROM documents""",
+        "feed_audit": """
+            SELECT s.source, n.files, CAST(0 AS BIGINT) AS unreadable, n.records, CAST(NULL AS VARCHAR) AS problem
+            FROM (VALUES ('arbeitnow', 'pages'), ('jobicy', 'documents'), ('remoteok', 'pages'), ('himalayas', 'documents'))
+              s(source, rows_from)
+            JOIN (SELECT 'pages' AS rows_from, COUNT(DISTINCT page_id // 500) AS files, COUNT(*) AS records FROM pages
+                  UNION ALL SELECT 'documents', COUNT(DISTINCT doc_id // 500), COUNT(*) FROM documents) n
+              ON n.rows_from = s.rows_from""",
         "role_filter": f"WITH {PAGES} SELECT arrival, title FROM records WHERE title IS NOT NULL AND {ROLE_MATCH}",
         "classify_title": f"""
             SELECT p_partkey, p_name, {_classified("p_name", PART_RULES, "Other")} AS role FROM part""",

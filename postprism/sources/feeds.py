@@ -114,11 +114,13 @@ def arrival_number(feed_rank: int, file_no: Column, item_no: Column) -> Column:
     return high + F.shiftleft(file_no.cast("bigint"), _ITEM_BITS) + item_no.cast("bigint")
 
 
+def _payloads(files: DataFrame, feed: Feed) -> DataFrame:
+    return files.select("_metadata.file_path", F.from_json("value", feed.payload).alias("payload"))
+
+
 def _items(files: DataFrame, feed: Feed) -> DataFrame:
     """One row per listed item of payload texts: file_path, item_no, item. A text that is no such JSON has none."""
-    items = files.select("_metadata.file_path", F.from_json("value", feed.payload).alias("payload")).select(
-        "file_path", F.posexplode(feed.items).alias("item_no", "item")
-    )
+    items = _payloads(files, feed).select("file_path", F.posexplode(feed.items).alias("item_no", "item"))
     return items.where(F.col("item_no") > 0) if feed.skip_first else items
 
 
@@ -177,3 +179,35 @@ def read_feeds(spark: SparkSession, paths: Mapping[str, str]) -> tuple[DataFrame
         except AnalysisException as problem:
             skipped[source] = problem.getCondition() or str(problem)
     return (reduce(DataFrame.unionByName, records) if records else None), skipped
+
+
+def feed_audit(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """What was landed, one row per feed: source, files, unreadable (without the expected list), records, problem.
+
+    A feed that cannot be read at all is listed with its problem and no files.
+    """
+    rows = []
+    for source, feed in feed_shapes().items():
+        if source not in paths:
+            continue
+        try:
+            files = spark.read.text(paths[source], wholetext=True, recursiveFileLookup=True)
+        except AnalysisException as problem:
+            counted = spark.range(1).select(F.lit(0).alias("files"), F.lit(0).alias("unreadable"), F.lit(0).alias("records"))
+            condition = problem.getCondition() or str(problem)
+        else:
+            items = F.size(F.col(feed.items)) - int(feed.skip_first)
+            counted = _payloads(files, feed).agg(
+                F.count(F.lit(1)).alias("files"),
+                F.count_if(F.col(feed.items).isNull()).alias("unreadable"),
+                F.coalesce(F.sum(F.when(F.col(feed.items).isNotNull(), F.greatest(items, F.lit(0)))), F.lit(0)).alias("records"),
+            )
+            condition = None
+        rows.append(
+            counted.select(
+                F.lit(source).alias("source"),
+                *[F.col(name).cast("bigint").alias(name) for name in counted.columns],
+                F.lit(condition).cast("string").alias("problem"),
+            )
+        )
+    return reduce(DataFrame.unionByName, rows)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postprism.functions.dates import posting_time
 from postprism.operators import conform
 from postprism.schemas import FACT
-from postprism.sources.feeds import read_feeds
+from postprism.sources.feeds import feed_audit, read_feeds
 
 A1 = {"data": [
     {"title": " Data Analyst ", "company_name": "Acme", "location": "Berlin", "remote": True, "job_types": ["full", "perm"],
@@ -72,6 +72,11 @@ def test_failing_feeds_are_named_and_the_others_read(spark, landed, tmp_path):
     assert set(skipped) == {"jobicy"}
     assert {row[0] for row in as_tuples(records, "source")} == {"arbeitnow", "remoteok"}
     assert read_feeds(spark, {"jobicy": str(tmp_path / "absent")})[0] is None
+    assert as_tuples(feed_audit(spark, paths)) == [
+        ("arbeitnow", 2, 0, 3, None), ("jobicy", 0, 0, 0, "PATH_NOT_FOUND"), ("remoteok", 1, 0, 1, None),
+        ("himalayas", 1, 1, 0, None),
+    ]
+    assert as_tuples(feed_audit(spark, landed).where("source = 'himalayas'")) == [("himalayas", 2, 0, 1, None)]
 
 
 def test_conformed_star(spark, records):
