@@ -10,9 +10,6 @@ from postprism.functions.text import WHITE_SPACE
 from postprism.operators.terms import AMBIGUOUS
 
 ROLE = "1-URGENT"
-REMOTE = f"f.job_title_short = '{ROLE}' AND f.job_work_from_home"
-PAID = f"{REMOTE} AND f.salary_year_avg IS NOT NULL"
-
 FACT = """
 job_postings_fact AS (
   SELECT o_orderkey AS job_id, o_custkey AS company_id, o_orderpriority AS job_title_short,
@@ -47,53 +44,72 @@ skills_dim AS (SELECT DISTINCT skill_id, skills FROM part_skill)"""
 BRIDGE = """
 skills_job_dim AS (
   SELECT DISTINCT l_orderkey AS job_id, skill_id FROM lineitem JOIN part_skill ON p_partkey = l_partkey)"""
-STAR = ",".join([FACT, COMPANY, PART_SKILL, SKILL, BRIDGE])
+TABLES = ",".join([FACT, COMPANY, PART_SKILL, SKILL, BRIDGE])
+
+
+def _population(name: str, fact: str) -> str:
+    return f"""
+{name} AS (SELECT * FROM {fact} WHERE job_title_short = '{ROLE}' AND job_work_from_home)"""
+
+
+PAID = """
+paid AS (SELECT *, CAST(salary_year_avg * 100 AS DOUBLE) AS cents FROM remote WHERE salary_year_avg IS NOT NULL)"""
+PEOPLE = ",".join([FACT, _population("remote", "job_postings_fact"), PAID])
 
-TOP = f"""
-top_jobs AS (
-  SELECT f.job_id, f.job_title, f.salary_year_avg FROM job_postings_fact f WHERE {PAID}
-  ORDER BY f.salary_year_avg DESC, f.job_id LIMIT 10)"""
 
+def _listed(name: str, postings: str, columns: str) -> str:
+    return f"""
+{name} AS (
+  SELECT {columns}, skills AS skill FROM {postings} JOIN skills_job_dim USING (job_id) JOIN skills_dim USING (skill_id))"""
+
+
+# All tables, and the skills of remote postings, of paid ones and of the ten best-paid.
+STAR = ",".join(
+    [
+        TABLES,
+        _population("remote", "job_postings_fact"),
+        PAID,
+        _listed("remote_skill", "remote", "job_id"),
+        _listed("paid_skill", "paid", "cents"),
+        "best AS (FROM paid ORDER BY cents DESC, job_id LIMIT 10)",
+        _listed("best_skill", "best", "job_id"),
+    ]
+)
 
-def _demand(fact: str = "job_postings_fact") -> str:
+
+def _shares(hits: str, share: str) -> str:
+    """Postings per skill of (job_id, skill) pairs and their share of the postings among the pairs."""
     return f"""
-    SELECT s.skills AS skill, COUNT(DISTINCT sj.job_id) AS postings,
-      ROUND(100.0 * COUNT(DISTINCT sj.job_id) / MAX(p.n), 1) AS share_of_pct
-    FROM {fact} f JOIN skills_job_dim sj ON sj.job_id = f.job_id JOIN skills_dim s ON s.skill_id = sj.skill_id
-    CROSS JOIN (SELECT COUNT(DISTINCT sj.job_id) AS n FROM {fact} f
-                JOIN skills_job_dim sj ON sj.job_id = f.job_id WHERE {REMOTE}) p
-    WHERE {REMOTE}
-    GROUP BY s.skills"""
+    SELECT skill, COUNT(*) AS postings,
+      ROUND(100.0 * COUNT(*) / (SELECT COUNT(DISTINCT job_id) FROM {hits}), 1) AS {share}
+    FROM {hits} GROUP BY skill"""
 
 
-MEDIAN = "ROUND(PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY CAST(f.salary_year_avg * 100 AS DOUBLE)) / 100, 0)"
+MEDIAN = "ROUND(quantile_cont(cents, 0.5) / 100, 0)"
 
 
 def _skill_pay(floor: int) -> str:
     return f"""
-    SELECT s.skills AS skill, COUNT(*) AS postings, ROUND(AVG(f.salary_year_avg), 0) AS avg_salary,
-      {MEDIAN} AS med_salary
-    FROM job_postings_fact f JOIN skills_job_dim sj ON sj.job_id = f.job_id
-    JOIN skills_dim s ON s.skill_id = sj.skill_id
-    WHERE {PAID} GROUP BY s.skills HAVING COUNT(*) >= {floor}"""
+    SELECT skill, COUNT(*) AS postings, ROUND(SUM(cents) / COUNT(*) / 100, 0) AS avg_salary, {MEDIAN} AS med_salary
+    FROM paid_skill GROUP BY skill HAVING COUNT(*) >= {floor}"""
 
 
 def _demand_and_pay() -> str:
     return f"""
-    SELECT t.skill, t.postings, ROUND(100.0 * t.postings / p.n, 1) AS demand_pct, t.avg_salary, t.med_salary
-    FROM ({_skill_pay(10)}) t CROSS JOIN (SELECT COUNT(*) AS n FROM job_postings_fact f WHERE {PAID}) p
-    ORDER BY postings DESC, avg_salary DESC, skill LIMIT 20"""
+    SELECT skill, postings, ROUND(100.0 * postings / (SELECT COUNT(*) FROM paid), 1) AS demand_pct, avg_salary, med_salary
+    FROM ({_skill_pay(10)}) ORDER BY postings DESC, avg_salary DESC, skill LIMIT 20"""
 
 
 def _near(alike: str) -> str:
-    return f"""WITH {STAR}, sets AS (
-      SELECT f.job_id, {", ".join("f." + c.strip() for c in alike.split(","))},
-        COALESCE(STRING_AGG(CAST(sj.skill_id AS VARCHAR), ',' ORDER BY sj.skill_id), '') AS skill_set
-      FROM job_postings_fact f LEFT JOIN skills_job_dim sj ON sj.job_id = f.job_id GROUP BY ALL),
-    g AS (SELECT COUNT(*) AS n, COUNT(DISTINCT skill_set) AS k FROM sets GROUP BY {alike} HAVING COUNT(*) > 1)
-    SELECT COUNT(*) AS near_duplicate_groups, SUM(n)::BIGINT AS near_duplicate_postings,
-      COUNT(*) FILTER (WHERE k > 1) AS groups_with_differing_skills,
-      (SUM(n) FILTER (WHERE k > 1))::BIGINT AS postings_with_differing_skills FROM g"""
+    return f"""WITH {TABLES},
+    listed AS (SELECT job_id, LIST(skill_id ORDER BY skill_id) AS ids FROM skills_job_dim GROUP BY job_id),
+    alike AS (
+      SELECT COUNT(*) AS n, COUNT(DISTINCT COALESCE(ids, [])) > 1 AS differ
+      FROM job_postings_fact LEFT JOIN listed USING (job_id) GROUP BY {alike} HAVING COUNT(*) > 1)
+    SELECT COUNT(*) AS near_duplicate_groups, CAST(SUM(n) AS BIGINT) AS near_duplicate_postings,
+      CAST(COUNT_IF(differ) AS BIGINT) AS groups_with_differing_skills,
+      CAST(SUM(CASE WHEN differ THEN n END) AS BIGINT) AS postings_with_differing_skills
+    FROM alike"""
 
 
 def _integrity() -> str:
@@ -124,7 +140,7 @@ def _integrity() -> str:
         for t, c, r in refs
     ]
     parts += [f"SELECT 'not null', '{t}', '{c}', COUNT(*) FROM {t} WHERE {c} IS NULL" for t, c in required]
-    return f"WITH {STAR} " + " UNION ALL ".join(parts)
+    return f"WITH {TABLES} " + " UNION ALL ".join(parts)
 
 
 POSTING_COLUMNS = """job_title_short, job_title, job_location, job_via, job_schedule_type, job_work_from_home,
@@ -153,9 +169,8 @@ company_dim AS (
   SELECT ROW_NUMBER() OVER (ORDER BY name) AS company_id, name
   FROM (SELECT DISTINCT company_name AS name FROM postings WHERE company_name IS NOT NULL)),
 pairs AS (
-  SELECT job_id, trim(item) AS skills FROM (
-    SELECT job_id, unnest(string_split(replace(replace(replace(job_skills, '[', ''), ']', ''), '''', ''), ',')) AS item
-    FROM postings WHERE job_skills IS NOT NULL)
+  SELECT job_id, trim(item) AS skills
+  FROM (SELECT job_id, unnest(string_split(translate(job_skills, '[]''', ''), ',')) AS item FROM postings)
   WHERE trim(item) <> ''),
 skills_dim AS (
   SELECT ROW_NUMBER() OVER (ORDER BY skills) AS skill_id, skills FROM (SELECT DISTINCT skills FROM pairs)),
@@ -242,45 +257,31 @@ _PAGE_FIELDS = f"""nullif(trim({TITLE}, {_SPACE}), '') AS title, nullif(regexp_e
 
 
 def oracle_sql() -> dict[str, str]:
-    older = "older AS (SELECT * FROM job_postings_fact WHERE job_posted_date < TIMESTAMP '1998-04-15 00:00:00')"
-    newer = "newer AS (SELECT * FROM job_postings_fact WHERE job_posted_date >= TIMESTAMP '1998-04-15 00:00:00')"
+    cut = "TIMESTAMP '1998-04-15 00:00:00'"
+    halves = f"""older AS (FROM job_postings_fact WHERE job_posted_date < {cut}),
+      newer AS (FROM job_postings_fact WHERE job_posted_date >= {cut}),
+      {_population("older_remote", "older")}, {_population("newer_remote", "newer")},
+      {_listed("older_skill", "older_remote", "job_id")}, {_listed("newer_skill", "newer_remote", "job_id")},
+      b AS ({_shares("older_skill", "share")}), n AS ({_shares("newer_skill", "share")})"""
+    top_paying = """
+      SELECT job_id, job_title, name AS company_name, job_schedule_type, cents / 100 AS salary_year_avg,
+        CAST(job_posted_date AS DATE) AS job_posted_date
+      FROM best JOIN company_dim USING (company_id)"""
+    skills_in_top = f"{_shares('best_skill', 'coverage_pct')} ORDER BY postings DESC, skill LIMIT 15"
     return {
-        "top_paying": f"""WITH {STAR}
-            SELECT f.job_id, f.job_title, c.name AS company_name, f.job_schedule_type,
-              CAST(f.salary_year_avg AS DOUBLE) AS salary_year_avg, CAST(f.job_posted_date AS DATE) AS job_posted_date
-            FROM job_postings_fact f JOIN company_dim c ON c.company_id = f.company_id
-            WHERE {PAID} ORDER BY f.salary_year_avg DESC, f.job_id LIMIT 10""",
-        "top_paying_marked": f"""WITH {STAR}, t AS (
-              SELECT f.job_id, f.job_title, c.name AS company_name, f.job_schedule_type,
-                CAST(f.salary_year_avg AS DOUBLE) AS salary_year_avg, CAST(f.job_posted_date AS DATE) AS job_posted_date
-              FROM job_postings_fact f JOIN company_dim c ON c.company_id = f.company_id
-              WHERE {PAID} ORDER BY f.salary_year_avg DESC, f.job_id LIMIT 10)
-            SELECT *, salary_year_avg = (SELECT MAX(salary_year_avg) FROM t) AS is_top FROM t""",
-        "skills_in_top_marked": f"""WITH {STAR}, {TOP},
-            listed AS (SELECT COUNT(DISTINCT sj.job_id) AS n FROM top_jobs t JOIN skills_job_dim sj ON sj.job_id = t.job_id)
-            SELECT s.skills AS skill, COUNT(DISTINCT sj.job_id) AS postings,
-              ROUND(100.0 * COUNT(DISTINCT sj.job_id) / MAX(w.n), 1) AS coverage_pct,
-              COUNT(DISTINCT sj.job_id) >= 2 AS is_common
-            FROM top_jobs t JOIN skills_job_dim sj ON sj.job_id = t.job_id
-            JOIN skills_dim s ON s.skill_id = sj.skill_id CROSS JOIN listed w
-            GROUP BY s.skills ORDER BY postings DESC, skill LIMIT 15""",
-        "skills_in_top": f"""WITH {STAR}, {TOP},
-            listed AS (SELECT COUNT(DISTINCT sj.job_id) AS n FROM top_jobs t JOIN skills_job_dim sj ON sj.job_id = t.job_id)
-            SELECT s.skills AS skill, COUNT(DISTINCT sj.job_id) AS postings,
-              ROUND(100.0 * COUNT(DISTINCT sj.job_id) / MAX(w.n), 1) AS coverage_pct
-            FROM top_jobs t JOIN skills_job_dim sj ON sj.job_id = t.job_id
-            JOIN skills_dim s ON s.skill_id = sj.skill_id CROSS JOIN listed w
-            GROUP BY s.skills ORDER BY postings DESC, skill LIMIT 15""",
-        "skill_demand_top": f"WITH {STAR} {_demand()} ORDER BY postings DESC, skill LIMIT 10",
-        "skill_demand_all": f"WITH {STAR} {_demand()} ORDER BY postings DESC, skill",
+        "top_paying": f"WITH {STAR} {top_paying}",
+        "top_paying_marked": f"""WITH {STAR}, t AS ({top_paying})
+            SELECT *, salary_year_avg = MAX(salary_year_avg) OVER () AS is_top FROM t""",
+        "skills_in_top": f"WITH {STAR} {skills_in_top}",
+        "skills_in_top_marked": f"WITH {STAR} SELECT *, postings >= 2 AS is_common FROM ({skills_in_top})",
+        "skill_demand_top": f"WITH {STAR} {_shares('remote_skill', 'share_of_pct')} ORDER BY postings DESC, skill LIMIT 10",
+        "skill_demand_all": f"WITH {STAR} {_shares('remote_skill', 'share_of_pct')}",
         "remote_skill_count": f"""WITH {STAR}
-            SELECT s.skill_id, s.skills AS skill_name, c.skill_count
-            FROM (SELECT sj.skill_id, COUNT(*) AS skill_count FROM skills_job_dim sj
-                  JOIN job_postings_fact f ON f.job_id = sj.job_id WHERE {REMOTE} GROUP BY 1) c
-            JOIN skills_dim s ON s.skill_id = c.skill_id ORDER BY skill_count DESC, s.skill_id LIMIT 5""",
-        "demand_leaders": f"""WITH {STAR}, d AS ({_demand()})
+            SELECT skill_id, skill AS skill_name, COUNT(*) AS skill_count
+            FROM remote_skill JOIN skills_dim ON skills = skill GROUP BY ALL ORDER BY skill_count DESC, skill_id LIMIT 5""",
+        "demand_leaders": f"""WITH {STAR}, d AS ({_shares('remote_skill', 'share_of_pct')})
             SELECT skill, postings, share_of_pct, share_of_pct >= 3.0 AS is_leader,
-              postings = (SELECT MAX(postings) FROM d) AS is_top,
+              postings = MAX(postings) OVER () AS is_top,
               (SELECT COUNT(*) FROM d WHERE share_of_pct >= 3.0) AS leaders FROM d""",
         "pay_by_skill": f"WITH {STAR} {_skill_pay(10)} ORDER BY avg_salary DESC, skill LIMIT 10",
         "demand_and_pay": f"WITH {STAR} {_demand_and_pay()}",
@@ -293,66 +294,62 @@ def oracle_sql() -> dict[str, str]:
                    WHEN postings >= demand_split THEN 'High demand, lower pay'
                    WHEN avg_salary >= pay_split THEN 'Niche, high pay' ELSE 'Niche, lower pay' END AS quadrant
             FROM t CROSS JOIN m""",
-        "pay_distribution": f"""WITH {FACT}
-            SELECT COUNT(*) AS postings, MIN(v) / 100 AS min_salary, quantile_cont(v, 0.25) / 100 AS q1_salary,
-              quantile_cont(v, 0.5) / 100 AS median_salary, quantile_cont(v, 0.75) / 100 AS q3_salary,
-              MAX(v) / 100 AS max_salary
-            FROM (SELECT CAST(f.salary_year_avg * 100 AS DOUBLE) AS v FROM job_postings_fact f WHERE {PAID})""",
-        "salary_outliers": f"""WITH {STAR}, paid AS (
-              SELECT f.job_title, c.name AS company_name, f.job_via, f.salary_year_avg
-              FROM job_postings_fact f JOIN company_dim c ON c.company_id = f.company_id WHERE {PAID}),
-            stats AS (SELECT PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY CAST(salary_year_avg * 100 AS DOUBLE)) AS med FROM paid)
-            SELECT job_title, company_name, job_via, CAST(salary_year_avg AS DOUBLE) AS salary_year_avg,
-              ROUND(CAST(salary_year_avg * 100 AS DOUBLE) / MAX(med), 1) AS multiple_of_median
-            FROM paid CROSS JOIN stats GROUP BY job_title, company_name, job_via, paid.salary_year_avg
+        "pay_distribution": f"""WITH {PEOPLE}
+            SELECT COUNT(*) AS postings, MIN(cents) / 100 AS min_salary, quantile_cont(cents, 0.25) / 100 AS q1_salary,
+              quantile_cont(cents, 0.5) / 100 AS median_salary, quantile_cont(cents, 0.75) / 100 AS q3_salary,
+              MAX(cents) / 100 AS max_salary
+            FROM paid""",
+        "salary_outliers": f"""WITH {STAR}
+            SELECT DISTINCT job_title, name AS company_name, job_via, cents / 100 AS salary_year_avg,
+              ROUND(cents / (SELECT quantile_cont(cents, 0.5) FROM paid), 1) AS multiple_of_median
+            FROM paid JOIN company_dim USING (company_id)
             ORDER BY salary_year_avg DESC, job_title, company_name, job_via LIMIT 5""",
-        "outlier_effect": f"""WITH {FACT}
-            SELECT COUNT(*) AS postings, ROUND(AVG(f.salary_year_avg), 0) AS avg_all, {MEDIAN} AS median_all,
-              ROUND(AVG(f.salary_year_avg) FILTER (WHERE f.salary_year_avg < m.top), 0) AS avg_excl_top,
-              CAST(ROUND(MAX(f.salary_year_avg), 0) AS DOUBLE) AS max_salary
-            FROM job_postings_fact f CROSS JOIN (SELECT MAX(f.salary_year_avg) AS top FROM job_postings_fact f WHERE {PAID}) m
-            WHERE {PAID}""",
-        "population_funnel": f"""WITH {STAR}
-            SELECT 'all postings' AS step, COUNT(*) AS postings FROM job_postings_fact
-            UNION ALL SELECT '1-urgent', COUNT(*) FROM job_postings_fact f WHERE f.job_title_short = '{ROLE}'
-            UNION ALL SELECT '1-urgent, remote', COUNT(*) FROM job_postings_fact f WHERE {REMOTE}
-            UNION ALL SELECT '1-urgent, remote, salaried', COUNT(*) FROM job_postings_fact f WHERE {PAID}
-            UNION ALL SELECT '1-urgent, remote, with skills', COUNT(DISTINCT sj.job_id)
-              FROM job_postings_fact f JOIN skills_job_dim sj ON sj.job_id = f.job_id WHERE {REMOTE}
-            UNION ALL SELECT '1-urgent, remote, salaried, with skills', COUNT(DISTINCT sj.job_id)
-              FROM job_postings_fact f JOIN skills_job_dim sj ON sj.job_id = f.job_id WHERE {PAID}""",
-        "flag_equivalence": f"""WITH {FACT}
-            SELECT job_work_from_home, job_location = 'Anywhere' AS location_is_anywhere, COUNT(*) AS postings
-            FROM job_postings_fact GROUP BY 1, 2 ORDER BY 1, 2""",
-        "top_without_skills": f"""WITH {STAR}, {TOP}
-            SELECT t.job_title, CAST(t.salary_year_avg AS DOUBLE) AS salary_year_avg, COUNT(sj.skill_id) AS skills_listed
-            FROM top_jobs t LEFT JOIN skills_job_dim sj ON sj.job_id = t.job_id
-            GROUP BY t.job_id, t.job_title, t.salary_year_avg ORDER BY t.salary_year_avg DESC""",
+        "outlier_effect": f"""WITH {PEOPLE}, marked AS (SELECT cents, cents = MAX(cents) OVER () AS is_top FROM paid)
+            SELECT COUNT(*) AS postings, ROUND(SUM(cents) / COUNT(*) / 100, 0) AS avg_all, {MEDIAN} AS median_all,
+              ROUND(SUM(CASE WHEN NOT is_top THEN cents END) / COUNT_IF(NOT is_top) / 100, 0) AS avg_excl_top,
+              ROUND(MAX(cents) / 100, 0) AS max_salary
+            FROM marked""",
+        "population_funnel": f"""WITH {STAR}, flagged AS (
+              SELECT job_title_short = '{ROLE}' AS is_role, job_id IN (SELECT job_id FROM remote) AS is_remote,
+                salary_year_avg IS NOT NULL AS is_paid, job_id IN (SELECT job_id FROM skills_job_dim) AS is_listed
+              FROM job_postings_fact),
+            sizes AS (
+              SELECT COUNT(*) AS "all postings", COUNT_IF(is_role) AS "1-urgent", COUNT_IF(is_remote) AS "1-urgent, remote",
+                COUNT_IF(is_remote AND is_paid) AS "1-urgent, remote, salaried",
+                COUNT_IF(is_remote AND is_listed) AS "1-urgent, remote, with skills",
+                COUNT_IF(is_remote AND is_paid AND is_listed) AS "1-urgent, remote, salaried, with skills"
+              FROM flagged)
+            SELECT step, CAST(postings AS BIGINT) AS postings
+            FROM (UNPIVOT sizes ON COLUMNS(*) INTO NAME step VALUE postings)""",
+        "flag_equivalence": f"""WITH {FACT}, t AS (
+              SELECT job_work_from_home, job_location = 'Anywhere' AS location_is_anywhere FROM job_postings_fact)
+            SELECT *, COUNT(*) AS postings FROM t GROUP BY ALL""",
+        "top_without_skills": f"""WITH {STAR}
+            SELECT job_title, cents / 100 AS salary_year_avg,
+              (SELECT COUNT(*) FROM skills_job_dim s WHERE s.job_id = best.job_id) AS skills_listed
+            FROM best""",
         "near_duplicates": _near("job_title, company_id, job_location, job_via, job_posted_date"),
         "near_duplicates_by_role": _near("company_id, job_title_short, job_location"),
         "integrity_report": _integrity(),
-        "location_buckets": f"""WITH {FACT}
-            SELECT COUNT(job_id) AS number_of_jobs,
-              CASE WHEN job_location = 'Anywhere' THEN 'Remote' WHEN job_location = 'New York, NY' THEN 'Local'
-                   ELSE 'Onsite' END AS location_category
-            FROM job_postings_fact WHERE job_title_short = '{ROLE}' GROUP BY location_category""",
+        "location_buckets": f"""WITH {FACT}, t AS (
+              SELECT CASE job_location WHEN 'Anywhere' THEN 'Remote' WHEN 'New York, NY' THEN 'Local' ELSE 'Onsite' END
+                AS location_category
+              FROM job_postings_fact WHERE job_title_short = '{ROLE}')
+            SELECT location_category, COUNT(*) AS number_of_jobs FROM t GROUP BY ALL""",
         "companies_without_degree": f"""WITH {FACT}, {COMPANY}
             SELECT company_id, name AS company_name FROM company_dim
-            WHERE company_id IN (SELECT company_id FROM job_postings_fact WHERE job_no_degree_mention)
-            ORDER BY company_name""",
+            SEMI JOIN (FROM job_postings_fact WHERE job_no_degree_mention) USING (company_id)""",
         "company_counts": f"""WITH {FACT}, {COMPANY}
-            SELECT c.name AS company_name, n.total_jobs FROM company_dim c
-            LEFT JOIN (SELECT company_id, COUNT(*) AS total_jobs FROM job_postings_fact GROUP BY 1) n
-              ON n.company_id = c.company_id""",
+            SELECT name AS company_name, NULLIF(COUNT(job_id), 0) AS total_jobs
+            FROM company_dim LEFT JOIN job_postings_fact USING (company_id) GROUP BY company_id, name""",
         "insured_in_quarter": f"""WITH {FACT}, {COMPANY}
-            SELECT c.name, f.job_health_insurance, EXTRACT(QUARTER FROM f.job_posted_date) AS job_posted_quarter
-            FROM job_postings_fact f JOIN company_dim c ON c.company_id = f.company_id
-            WHERE f.job_health_insurance AND EXTRACT(QUARTER FROM f.job_posted_date) = 2""",
+            SELECT name, job_health_insurance, quarter(job_posted_date) AS job_posted_quarter
+            FROM job_postings_fact JOIN company_dim USING (company_id)
+            WHERE job_health_insurance AND month(job_posted_date) BETWEEN 4 AND 6""",
         "insured_by_company": f"""WITH {FACT}, {COMPANY}
-            SELECT c.name, COUNT(f.job_id) AS job_count, EXTRACT(QUARTER FROM f.job_posted_date) AS job_posted_quarter
-            FROM job_postings_fact f JOIN company_dim c ON c.company_id = f.company_id
-            WHERE f.job_health_insurance AND EXTRACT(QUARTER FROM f.job_posted_date) = 2
-            GROUP BY c.name, job_posted_quarter""",
+            SELECT name, COUNT(*) AS job_count, CAST(2 AS BIGINT) AS job_posted_quarter
+            FROM job_postings_fact JOIN company_dim USING (company_id)
+            WHERE job_health_insurance AND month(job_posted_date) BETWEEN 4 AND 6 GROUP BY name""",
         "avg_by_schedule": f"""WITH {FACT}
             SELECT job_schedule_type,
               CAST(SUM(CAST(salary_year_avg * 100 AS BIGINT)) AS DOUBLE) / COUNT(salary_year_avg) / 100 AS avg_salary_year,
@@ -369,23 +366,19 @@ def oracle_sql() -> dict[str, str]:
             SELECT job_id, company_id, {POSTING_DOUBLES}, EXTRACT(MONTH FROM job_posted_date) AS posted_month
             FROM job_postings_fact WHERE EXTRACT(MONTH FROM job_posted_date) = 2""",
         "month_union": f"""WITH {FACT}
-            SELECT job_title_short, company_id, job_location FROM job_postings_fact WHERE EXTRACT(MONTH FROM job_posted_date) = 1
-            UNION ALL
-            SELECT job_title_short, company_id, job_location FROM job_postings_fact WHERE EXTRACT(MONTH FROM job_posted_date) = 2
-            UNION ALL
-            SELECT job_title_short, company_id, job_location FROM job_postings_fact WHERE EXTRACT(MONTH FROM job_posted_date) = 3""",
+            SELECT job_title_short, company_id, job_location FROM job_postings_fact WHERE quarter(job_posted_date) = 1""",
         "quarter_top": f"""WITH {FACT}
             SELECT job_title_short, job_location, job_via, CAST(job_posted_date AS DATE) AS job_posted_date,
               CAST(salary_year_avg AS DOUBLE) AS salary_year_avg
-            FROM job_postings_fact f WHERE month(f.job_posted_date) IN (1, 2, 3) AND f.salary_year_avg > 70000
-              AND f.job_title_short = '{ROLE}'""",
+            FROM job_postings_fact
+            WHERE quarter(job_posted_date) = 1 AND job_title_short = '{ROLE}' AND salary_year_avg > 70000""",
         "full_row_dedup": "SELECT DISTINCT text, lang FROM documents",
         "full_row_dedup_lines": "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem",
         "read_postings_csv": f"WITH {WIDE} SELECT {POSTING_DOUBLES}, company_name, job_skills FROM wide",
-        "write_star": f"""WITH {STAR}
-            SELECT f.job_id, c.name AS company_name, s.skills AS skill, CAST(f.salary_year_avg AS DOUBLE) AS salary_year_avg
-            FROM job_postings_fact f JOIN company_dim c ON c.company_id = f.company_id
-            LEFT JOIN skills_job_dim sj ON sj.job_id = f.job_id LEFT JOIN skills_dim s ON s.skill_id = sj.skill_id""",
+        "write_star": f"""WITH {TABLES}
+            SELECT job_id, name AS company_name, skills AS skill, CAST(salary_year_avg AS DOUBLE) AS salary_year_avg
+            FROM job_postings_fact JOIN company_dim USING (company_id) LEFT JOIN skills_job_dim USING (job_id)
+            LEFT JOIN skills_dim USING (skill_id)""",
         "surrogate_key": f"WITH {KEYED} SELECT job_id, {POSTING_DOUBLES}, company_name, job_skills FROM postings",
         "company_dimension": f"WITH {PREPARED} SELECT company_id, name FROM company_dim",
         "skill_dimension": f"WITH {PREPARED} SELECT skill_id, skills FROM skills_dim",
@@ -453,14 +446,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT 2, event_id, ts, user_id FROM events
             WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND event_id NOT IN (
               SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00')""",
-        "compare_demand": f"""WITH {STAR}, {older}, {newer}, b AS ({_demand(fact="older")}), n AS ({_demand(fact="newer")})
-            SELECT COALESCE(b.skill, n.skill) AS skill, b.postings AS postings_base, n.postings AS postings_new,
-              COALESCE(b.share_of_pct, 0) AS share_base, COALESCE(n.share_of_pct, 0) AS share_new,
-              GREATEST(COALESCE(b.share_of_pct, 0), COALESCE(n.share_of_pct, 0)) AS rank_on,
-              (SELECT COUNT(DISTINCT f.job_id) FROM older f JOIN skills_job_dim s ON s.job_id = f.job_id WHERE {REMOTE}) AS n_base,
-              (SELECT COUNT(DISTINCT f.job_id) FROM newer f JOIN skills_job_dim s ON s.job_id = f.job_id WHERE {REMOTE}) AS n_new
-            FROM (SELECT * FROM b WHERE skill NOT IN ('Brand#1 LARGE', 'Brand#2 SMALL')) b
-            FULL JOIN (SELECT * FROM n WHERE skill NOT IN ('Brand#1 LARGE', 'Brand#2 SMALL')) n ON n.skill = b.skill
+        "compare_demand": f"""WITH {TABLES}, {halves}
+            SELECT skill, b.postings AS postings_base, n.postings AS postings_new, COALESCE(b.share, 0) AS share_base,
+              COALESCE(n.share, 0) AS share_new, GREATEST(share_base, share_new) AS rank_on,
+              (SELECT COUNT(DISTINCT job_id) FROM older_skill) AS n_base,
+              (SELECT COUNT(DISTINCT job_id) FROM newer_skill) AS n_new
+            FROM b FULL JOIN n USING (skill) WHERE skill NOT IN ('Brand#1 LARGE', 'Brand#2 SMALL')
             ORDER BY rank_on DESC, skill LIMIT 10""",
         "table_changes": """
             SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice,
@@ -474,12 +465,11 @@ def oracle_sql() -> dict[str, str]:
                 COUNT(*) AS postings FROM events GROUP BY 1, 2)
             SELECT window_start, item, postings,
               ROUND(100.0 * postings / SUM(postings) OVER (PARTITION BY window_start), 1) AS share_of_pct FROM c""",
-        "demand_trend": f"""WITH {STAR}, r AS (
-              SELECT f.job_id, time_bucket(INTERVAL '7 days', f.job_posted_date, TIMESTAMP '1970-01-01 00:00:00') AS window_start
-              FROM job_postings_fact f WHERE {REMOTE}),
-            n AS (SELECT r.window_start, COUNT(DISTINCT sj.job_id) AS n FROM r JOIN skills_job_dim sj ON sj.job_id = r.job_id GROUP BY 1)
-            SELECT r.window_start, s.skills AS skill, COUNT(DISTINCT sj.job_id) AS postings,
-              ROUND(100.0 * COUNT(DISTINCT sj.job_id) / MAX(n.n), 1) AS share_of_pct
-            FROM r JOIN skills_job_dim sj ON sj.job_id = r.job_id JOIN skills_dim s ON s.skill_id = sj.skill_id
-            JOIN n ON n.window_start = r.window_start GROUP BY r.window_start, s.skills""",
+        "demand_trend": f"""WITH {STAR}, dated AS (
+              SELECT time_bucket(INTERVAL '7 days', job_posted_date, TIMESTAMP '1970-01-01 00:00:00') AS window_start,
+                job_id, skill
+              FROM remote_skill JOIN remote USING (job_id)),
+            whole AS (SELECT window_start, COUNT(DISTINCT job_id) AS n FROM dated GROUP BY 1)
+            SELECT window_start, skill, COUNT(*) AS postings, ROUND(100.0 * COUNT(*) / MAX(n), 1) AS share_of_pct
+            FROM dated JOIN whole USING (window_start) GROUP BY window_start, skill""",
     }
