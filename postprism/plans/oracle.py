@@ -107,7 +107,7 @@ def _near(alike: str) -> str:
       SELECT COUNT(*) AS n, COUNT(DISTINCT COALESCE(ids, [])) > 1 AS differ
       FROM job_postings_fact LEFT JOIN listed USING (job_id) GROUP BY {alike} HAVING COUNT(*) > 1)
     SELECT COUNT(*) AS near_duplicate_groups, CAST(SUM(n) AS BIGINT) AS near_duplicate_postings,
-      CAST(COUNT_IF(differ) AS BIGINT) AS groups_with_differing_skills,
+      COUNT(CASE WHEN differ THEN 1 END) AS groups_with_differing_skills,
       CAST(SUM(CASE WHEN differ THEN n END) AS BIGINT) AS postings_with_differing_skills
     FROM alike"""
 
