@@ -16,8 +16,9 @@ AMBIGUOUS = (
 # Signs that may not stand before and after a term.
 _BEFORE, _AFTER = "[a-z0-9+#.]", "[a-z0-9+#]"
 
-# Up to this many terms the vocabulary is sent to every executor (some 200 bytes per term).
+# Up to this many terms and bytes of patterns the vocabulary is sent to every executor.
 BROADCAST_TERMS = 50_000
+BROADCAST_BYTES = 32 << 20
 
 
 def usable_vocabulary(vocabulary: DataFrame, term: str = "skills", ambiguous: Iterable[str] = AMBIGUOUS) -> DataFrame:
@@ -83,10 +84,14 @@ def extract_terms(
     )
     size = (
         terms.limit(broadcast_terms + 1)
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("anchor").rlike("[a-z0-9]")).alias("signs"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.octet_length("pattern")).alias("bytes"),
+            F.count_if(~F.col("anchor").rlike("[a-z0-9]")).alias("signs"),
+        )
         .first()
     )
-    small = size["n"] <= broadcast_terms
+    small = size["n"] <= broadcast_terms and (size["bytes"] or 0) <= BROADCAST_BYTES
     folded = texts.select(id_column, _folded(F.col(text_column)).alias("folded"))
     tokens = _all_of(F.col("folded"), _TOKEN)
     if not small or size["signs"]:

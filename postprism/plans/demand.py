@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from postprism.functions.measures import share_pct
 from postprism.operators.population import MAIN_ROLE, population, with_scalar
 from postprism.operators.terms import AMBIGUOUS
-from postprism.plans.pay import top_paid
+from postprism.plans.pay import few, top_paid
 from postprism.star import Star
 
 # Share of a leading skill in percent, postings of a common one.
@@ -58,8 +58,8 @@ def skill_demand_top(star: Star, role: str = MAIN_ROLE, k: int = 10) -> DataFram
 
 def skills_in_top(star: Star, role: str = MAIN_ROLE, k: int = 10, k_skills: int = 15) -> DataFrame:
     """Skills of the k best-paid postings; the share is of those among them that list any skill."""
-    # k rows, so the bridge is scanned without a shuffle.
-    top = F.broadcast(top_paid(star, role, k).select("job_id"))
+    # With k rows broadcast the bridge is scanned without a shuffle.
+    top = few(top_paid(star, role, k).select("job_id"), k)
     return _demand(top, star, "coverage_pct").orderBy(F.desc("postings"), F.asc("skill")).limit(k_skills)
 
 

@@ -12,6 +12,14 @@ from postprism.star import Star
 
 MIN_POSTINGS = 10
 
+# A top-k of up to this many rows is sent to every executor; a longer one is joined like any table.
+BROADCAST_TOP = 100_000
+
+
+def few(top: DataFrame, k: int) -> DataFrame:
+    """A top-k with a broadcast hint where k bounds its size."""
+    return F.broadcast(top) if k <= BROADCAST_TOP else top
+
 
 def top_paid(star: Star, role: str = MAIN_ROLE, k: int = 10) -> DataFrame:
     """The k best-paid postings of the population, fact columns; equal pay is ordered by job id."""
@@ -26,7 +34,7 @@ def top_paying(star: Star, role: str = MAIN_ROLE, k: int = 10) -> DataFrame:
     columns = ["job_id", "job_title", "company_id", "job_schedule_type", "salary_year_avg", "job_posted_date"]
     top = top_paid(star.with_fact(star.fact.select(*columns, "job_title_short", "job_work_from_home")), role, k)
     return (
-        star.company.join(F.broadcast(top), "company_id")
+        star.company.join(few(top, k), "company_id")
         .select(
             "job_id",
             "job_title",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postprism.operators.population import MAIN_ROLE
-from postprism.plans.pay import top_paid
+from postprism.plans.pay import few, top_paid
 from postprism.star import Star
 
 # Postings alike on these columns are near-duplicates.
@@ -32,7 +32,7 @@ def top_without_skills(star: Star, role: str = MAIN_ROLE, k: int = 10) -> DataFr
     """
     top = top_paid(star, role, k).select("job_id", "job_title", "salary_year_avg")
     listed = (
-        star.bridge.join(F.broadcast(top.select("job_id")), "job_id")
+        star.bridge.join(few(top.select("job_id"), k), "job_id")
         .groupBy("job_id")
         .agg(F.count(F.lit(1)).alias("_listed"))
     )
