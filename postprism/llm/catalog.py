@@ -4,25 +4,157 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postprism.llm import simhash_dedup
+from postprism.llm import (
+    bpe_trie,
+    chat,
+    decontaminate,
+    embedding_dedup,
+    line_dedup,
+    quality,
+    sharding,
+    simhash_dedup,
+    suffix_dedup,
+    token_files,
+)
+from postprism.session import work_folder
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one whose texts hold another template's control strings, read back from the formatted text."""
+    said = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        said.alias("text"),
+    )
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    read = chat.format_chats(rows).select(
+        "conv_id",
+        chat.read_turns(F.col("formatted")).alias("turns"),
+        F.array_join(chat.read_learned(F.col("formatted"), F.col("loss_spans")), "").alias("learned"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    written = F.transform("turns", lambda turn: F.concat(turn["role"], F.lit("\n"), turn["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(written, ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Each benchmark item that a document holds, and where."""
+    found = decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "edits", "first_word", "end_word")
+
+
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    target = work_folder(spark, "tokens")
+    files = token_files.write_token_files(_table(spark, folder, "documents"), VOCABULARY, target)
+    read = token_files.read_token_files(files, target)
+    return read.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").cast("long").alias("ids_crc32")
+    )
+
+
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(_table(spark, folder, "documents"))
+
+
+def op5_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = quality.fit(docs, _table(spark, folder, "labels"))
+    scored = docs.select("doc_id", quality.held_out().alias("held_out"), quality.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, folder, "embeddings"))
+
+
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.drop_repeated_lines(_table(spark, folder, "documents"), counts=True)
+    return found.select(
+        "doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+def op9_bpe_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_trie.digests(bpe_trie.encode_and_decode(_table(spark, folder, "documents"), VOCABULARY), "doc_id")
+
+
 def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_dedup.simhash_groups(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op10_simhash_dedup]
+    found = [
+        op1_chat_format,
+        op2_decontamination,
+        op3_token_files,
+        op4_sharding,
+        op5_quality_votes,
+        op6_embedding_dedup,
+        op7_suffix_dedup,
+        op8_line_dedup,
+        op9_bpe_trie,
+        op10_simhash_dedup,
+    ]
     return {query.__name__: query for query in found}
 
 
+def _times(control: str) -> str:
+    """SQL for how many characters escaping one control string adds to a text: its occurrences, backslashes apart."""
+    return rf"len(regexp_extract_all(t, '{_quoted(control[0])}\\*{_quoted(control[1:])}'))"
+
+
+def _quoted(text: str) -> str:
+    return "".join(f"[{char}]" if char in "[]|<>/" and char not in "[]" else "\\" + char if char in "[]" else char for char in text)
+
+
+_OP1 = rf"""
+WITH r AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), s AS (
+    SELECT *, lag(role) OVER w IS DISTINCT FROM role AS opens,
+        length(t) + {" + ".join(map(_times, chat.CONTROLS))} AS chars
+    FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, t)
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+    sum(CASE WHEN role = 'assistant' THEN length(t) ELSE 0 END)::BIGINT AS loss_chars,
+    sha256(string_agg(CASE WHEN role = 'assistant' THEN t ELSE '' END, '' ORDER BY turn, role, t)) AS loss_sha256,
+    sum(chars + CASE WHEN opens THEN {len(chat.BLOCK + chat.TEXT + chat.END)} + length(role) ELSE {len(chat.PART)} END)::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": _OP1}
