@@ -61,14 +61,16 @@ def smallest(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, value, first, last): maximal runs of string starts under one value, in all texts; together below _PIECE bytes."""
+def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text, value, first, last, twice): maximal runs of string starts under one value, in all texts of together up to
+    _PIECE bytes; whether the value's piece may be in the run's bytes twice, so that a string may repeat within the run."""
     lengths = np.array([len(text) for text in texts], dtype=np.int64)
     begins = np.concatenate(([0], np.cumsum(lengths)))
     if begins[-1] < LENGTH:
-        return (np.zeros(0, dtype=np.int64),) * 4
+        return (np.zeros(0, dtype=np.int64),) * 5
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.uint64)
-    value = smallest(gram_hashes(raw, GRAM), LENGTH - GRAM + 1)
+    grams, span = gram_hashes(raw, GRAM), LENGTH - GRAM + 1
+    value = smallest(grams, span)
     starts = np.zeros(len(value) + 1, dtype=np.int8)
     inside = lengths >= LENGTH
     np.add.at(starts, begins[:-1][inside], 1)
@@ -81,24 +83,31 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     cut = np.flatnonzero(since % _RUN == 0)
     ends = np.concatenate((cut[1:], [len(valid)])) - 1
     local = valid - begins[owner]
-    return owner[cut], kept[cut].view(np.int64), local[cut], local[ends]
+
+    # pieces that are some string's smallest: no string that holds them has a larger minimum
+    edge = np.zeros(span - 1, dtype=np.uint64)
+    chosen = np.flatnonzero(grams == ~smallest(~np.concatenate((edge, value, edge)), span))
+    again = np.concatenate(([0], np.cumsum((grams[chosen[1:]] == grams[chosen[:-1]]) & (np.diff(chosen) <= span))))
+    low, high = np.searchsorted(chosen, valid[cut]), np.searchsorted(chosen, valid[ends] + span - 1, side="right") - 1
+    return owner[cut], kept[cut].view(np.int64), local[cut], local[ends], again[high] > again[low]
 
 
 def _stretch_rows(docs: DataFrame) -> DataFrame:
-    """``(text_id, value, first, last)`` of all texts."""
+    """``(text_id, value, first, last, twice)`` of all texts."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in _pieces(batch):
                 texts, ids, offsets = zip(*group, strict=True)
-                owner, value, first, last = stretches(list(texts))
+                owner, value, first, last, twice = stretches(list(texts))
                 ids, offsets = np.array(ids, dtype=np.int64), np.array(offsets, dtype=np.int64)
                 if len(owner):
                     yield pa.record_batch(
-                        [ids[owner], value, first + offsets[owner], last + offsets[owner]], names=["text_id", "value", "first", "last"]
+                        [ids[owner], value, first + offsets[owner], last + offsets[owner], twice],
+                        names=["text_id", "value", "first", "last", "twice"],
                     )
 
-    return docs.select("text_id", "text").mapInArrow(of, "text_id long, value long, first long, last long")
+    return docs.select("text_id", "text").mapInArrow(of, "text_id long, value long, first long, last long, twice boolean")
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[list[tuple[bytes, int, int]]]:
@@ -288,8 +297,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     found = materialise(_stretch_rows(rows), "stretches")
     place = F.xxhash64("text_id", "first")
-    shared = found.groupBy("value").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    candidates = found.join(shared.select("value", (F.col("n") > HOT).alias("hot")), "value").dropDuplicates(["text_id", "first"])
+    shared = found.groupBy("value").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("low < high or twice")
+    candidates = found.drop("twice").join(shared.select("value", (F.col("n") > HOT).alias("hot")), "value").dropDuplicates(["text_id", "first"])
     per_text = candidates.groupBy("text_id").agg(F.collect_list(F.struct("value", "hot", "first", "last")).alias("runs"))
     wanted = per_text.join(first.select("text_id", "of"), "text_id").withColumnRenamed("text_id", "id")
 
