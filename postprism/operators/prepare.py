@@ -95,14 +95,17 @@ def build_star(rows: DataFrame) -> tuple[Star, DataFrame]:
 
 def load_audit(rows: DataFrame, postings: DataFrame, star: Star) -> DataFrame:
     """Row counts of a load: metric, rows."""
-    source = rows.agg(F.count(F.lit(1)).alias("_source"))
+    rejected = F.col("_rejected").isNotNull() if "_rejected" in rows.columns else F.lit(False)
+    source = rows.agg(F.count(F.lit(1)).alias("_source"), F.count_if(rejected).alias("_rejected"))
     kept = postings.agg(F.count(F.lit(1)).alias("_kept"), F.count_if(F.col("company_name").isNull()).alias("_nameless"))
     # Metric names.
     first = with_scalar(source, kept).select(
         F.stack(
-            F.lit(3),
+            F.lit(4),
             F.lit("source rows"),
             F.col("_source"),
+            F.lit("with rejected values"),
+            F.col("_rejected"),
             F.lit("duplicates removed"),
             F.col("_source") - F.col("_kept"),
             F.lit("no company, dropped"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postprism import schemas
@@ -18,13 +19,39 @@ _TABLE_SCHEMAS = {
 }
 
 
-def read_postings_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.WIDE) -> DataFrame:
-    """Denormalised postings from delimited files with a header.
+# Pay as written, wide enough for any amount; the fact's scale is applied when the fact is built.
+PAY = T.DecimalType(28, 10)
 
-    The schema is given, so no pass is spent on guessing types. Quoted fields may hold commas, doubled
-    quotes and line breaks.
+# Holds the raw text of a row's values that do not fit their type, as JSON; NULL where all fit.
+REJECTED = "_rejected"
+
+
+def read_postings_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.WIDE, multi_line: bool = True) -> DataFrame:
+    """Denormalised postings from delimited files with a header; columns are found by their names.
+
+    Every column of the files is kept, so that rows differing anywhere stay different: those of ``schema`` come first and typed,
+    further ones follow as text. A column of the schema that the files lack is NULL. Files whose headers differ are refused.
+    A value that does not fit its type becomes NULL and is kept in ``_rejected``; ``load_audit`` counts such rows. Quoted
+    fields may hold commas, doubled quotes and, with ``multi_line``, line breaks; without it a large file is read in parts.
     """
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', enforceSchema=False)
+    known = {field.name for field in schema}
+    columns, failed = [], []
+    for field in schema:
+        if field.name not in raw.columns:
+            columns.append(F.lit(None).cast(field.dataType).alias(field.name))
+            continue
+        text = F.col(f"`{field.name}`")
+        kind = PAY if isinstance(field.dataType, T.DecimalType) else field.dataType
+        value = text if isinstance(kind, T.StringType) else F.trim(text).try_cast(kind)
+        columns.append(value.alias(field.name))
+        if not isinstance(kind, T.StringType):
+            failed.append(F.when(value.isNull() & (F.trim(text) != ""), text).alias(field.name))
+    columns += [F.col(f"`{name}`") for name in raw.columns if name not in known]
+    if failed:
+        written = F.to_json(F.struct(*failed))  # NULL fields are left out
+        columns.append(F.when(written != "{}", written).alias(REJECTED))
+    return raw.select(*columns)
 
 
 def write_star(star: Star, path: str, format: str = "parquet") -> None:

@@ -87,6 +87,7 @@ def test_audit_span_and_integrity(rows, built):
     star, postings = built
     assert dict(as_tuples(prepare.load_audit(rows, postings, star))) == {
         "source rows": 10,
+        "with rejected values": 0,
         "duplicates removed": 1,
         "no company, dropped": 2,
         "company_dim": 3,
@@ -118,6 +119,32 @@ def test_csv_with_quotes_commas_and_line_breaks(spark, tmp_path):
     ]
 
 
+def test_csv_columns_go_by_name_and_none_is_lost(spark, tmp_path):
+    header = ["note", *reversed(WIDE.names)]
+    values = {"job_title": "T", "company_name": "Acme", "job_posted_date": "soon", "salary_year_avg": "$90000", "salary_hour_avg": "45.555"}
+    lines = [",".join(header)]
+    for note in ("a", "b", "b"):
+        lines.append(",".join(values.get(name, note if name == "note" else "") for name in header))
+    (tmp_path / "rows.csv").write_text("\n".join(lines) + "\n")
+    for multi_line in (True, False):
+        read = read_postings_csv(spark, str(tmp_path / "rows.csv"), multi_line=multi_line)
+        assert read.columns == [*WIDE.names, "note", "_rejected"]
+        distinct = prepare.full_row_dedup(read)
+        assert distinct.count() == 2
+        got = as_tuples(distinct, "job_title", "company_name", "job_posted_date", "salary_year_avg", "salary_hour_avg", "_rejected")
+        assert got == [("T", "Acme", None, None, Decimal("45.5550000000"), '{"job_posted_date":"soon","salary_year_avg":"$90000"}')] * 2
+        star, postings = prepare.build_star(read)
+        assert as_tuples(star.fact, "salary_hour_avg") == [(Decimal("45.56"),)] * 2
+        assert dict(as_tuples(prepare.load_audit(read, postings, star)))["with rejected values"] == 3
+
+
+def test_csv_files_of_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("job_title,job_via\na,b\n")
+    (tmp_path / "2.csv").write_text("job_via,job_title\nb,a\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_postings_csv(spark, str(tmp_path), multi_line=False).collect()
+
+
 @pytest.mark.parametrize("format", ["csv", "parquet"])
 def test_written_star_reads_back(spark, built, tmp_path, format):
     star, _ = built
