@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postprism.operators.lookup import lookup_join
+
 # Terms that are also ordinary words.
 AMBIGUOUS = (
     "r", "c", "go", "ai", "bi", "word", "flow", "sheets", "access", "express",
@@ -16,9 +18,8 @@ AMBIGUOUS = (
 # Signs that may not stand before and after a term.
 _BEFORE, _AFTER = "[a-z0-9+#.]", "[a-z0-9+#]"
 
-# Up to this many terms and bytes of patterns the vocabulary is sent to every executor.
+# Up to this many distinct anchors the vocabulary is sent to every executor.
 BROADCAST_TERMS = 50_000
-BROADCAST_BYTES = 32 << 20
 
 
 def usable_vocabulary(vocabulary: DataFrame, term: str = "skills", ambiguous: Iterable[str] = AMBIGUOUS) -> DataFrame:
@@ -68,13 +69,12 @@ def extract_terms(
 ) -> DataFrame:
     """Pairs (id, skill_id) of a text and a term found in it, each pair once.
 
-    ``vocabulary`` holds skill_id and skills (the term). A text's distinct tokens are joined to the terms'
+    ``vocabulary`` holds skill_id and skills (the term). A text's distinct tokens are looked up among the terms'
     anchors, so cost follows the matches, not texts x terms, and overlapping terms are all found. A term that is
-    one token is found by the join alone; only longer ones are then checked in the text.
-
-    A vocabulary of checked size is broadcast: tokens are looked up where the text is read, nothing is
-    shuffled. A larger one is joined by shuffle on narrow (id, token) rows, and texts are joined back only to
-    the candidates that need the check.
+    one token is found by that alone; texts are joined back only to the candidates of longer terms, whose bounds are
+    then checked. Only narrow (id, token) rows meet the vocabulary: it is broadcast within a checked size, and with a larger
+    one the tokens are shuffled, the heavy ones apart; the result is the same. Texts with a NULL id or text are left out; texts
+    with one id are taken together.
     """
     terms = (
         vocabulary.where(F.trim("skills") != "")
@@ -82,28 +82,27 @@ def extract_terms(
         .select("skill_id", "term", _bounded(F.col("term")).alias("pattern"), _anchor(F.col("term")).alias("anchor"))
         .withColumn("whole", (F.col("term") == F.col("anchor")) & F.col("anchor").rlike("^[a-z0-9]+$"))
     )
-    size = (
-        terms.limit(broadcast_terms + 1)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.octet_length("pattern")).alias("bytes"),
-            F.count_if(~F.col("anchor").rlike("[a-z0-9]")).alias("signs"),
-        )
-        .first()
+    kinds = terms.agg(
+        F.count_if(~F.col("anchor").rlike("[a-z0-9]")).alias("signs"), F.count_if(~F.col("whole")).alias("longer")
+    ).first()
+    folded = texts.where(F.col(id_column).isNotNull()).select(
+        F.col(id_column).alias("_id"), _folded(F.col(text_column)).alias("_folded")
     )
-    small = size["n"] <= broadcast_terms and (size["bytes"] or 0) <= BROADCAST_BYTES
-    folded = texts.select(id_column, _folded(F.col(text_column)).alias("folded"))
-    tokens = _all_of(F.col("folded"), _TOKEN)
-    if not small or size["signs"]:
-        # Some term may have no letter or digit: single signs are tokens too.
-        tokens = F.concat(tokens, _all_of(F.col("folded"), _SIGN))
-    tokens = F.explode(F.array_distinct(tokens)).alias("anchor")
-    holds = F.contains("folded", "term") & F.regexp_like("folded", "pattern")
-    if small:
-        found = folded.select(id_column, "folded", tokens).join(F.broadcast(terms), "anchor")
-        return found.where(F.col("whole") | holds).select(id_column, "skill_id")
-    candidates = folded.select(id_column, tokens).join(terms, "anchor")
-    longer = candidates.where(~F.col("whole")).select(id_column, "skill_id", "term", "pattern").join(folded, id_column)
-    return (
-        candidates.where("whole").select(id_column, "skill_id").unionByName(longer.where(holds).select(id_column, "skill_id"))
+    tokens = _all_of(F.col("_folded"), _TOKEN)
+    if kinds["signs"]:
+        # Some term has no letter or digit: single signs are tokens too.
+        tokens = F.concat(tokens, _all_of(F.col("_folded"), _SIGN))
+    rows = folded.select("_id", F.explode(F.array_distinct(tokens)).alias("anchor"))
+    anchors = terms.groupBy("anchor").agg(F.collect_set(F.struct("skill_id", "whole")).alias("terms"))
+    candidates = (
+        lookup_join(rows, anchors, "anchor", broadcast_terms)
+        .select("_id", F.explode("terms").alias("found"))
+        .select("_id", "found.skill_id", "found.whole")
     )
+    found = candidates.where("whole").select("_id", "skill_id")
+    if kinds["longer"]:
+        longer = terms.where(~F.col("whole")).select("skill_id", "term", "pattern")
+        checked = candidates.where(~F.col("whole")).select("_id", "skill_id").distinct().join(folded, "_id").join(longer, "skill_id")
+        holds = F.contains("_folded", "term") & F.regexp_like("_folded", "pattern")
+        found = found.unionByName(checked.where(holds).select("_id", "skill_id"))
+    return found.distinct().select(F.col("_id").alias(id_column), "skill_id")
