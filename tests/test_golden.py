@@ -1,5 +1,7 @@
 """Results recomputed from published result tables."""
 
+from pathlib import Path
+
 import pytest
 from conftest import as_tuples
 
@@ -31,56 +33,7 @@ vba,25,4.1,88232.0,76559
 spss,24,3.9,92170.0,84250
 """
 
-# The head of a published demand table, and a whole one: skill, postings, share_of_pct.
-BASE_DEMAND = """
-sql,7298,63.5
-excel,4596,40.0
-python,4304,37.4
-tableau,3739,32.5
-power bi,2611,22.7
-r,2133,18.6
-sas,937,8.2
-looker,863,7.5
-azure,826,7.2
-powerpoint,826,7.2
-go,821,7.1
-aws,769,6.7
-word,729,6.3
-oracle,620,5.4
-snowflake,612,5.3
-sql server,604,5.3
-flow,494,4.3
-sheets,492,4.3
-sap,491,4.3
-jira,397,3.5
-bigquery,375,3.3
-spark,361,3.1
-git,267,2.3
-"""
-NEW_DEMAND = """
-sql,18,66.7
-python,15,55.6
-excel,8,29.6
-looker,7,25.9
-tableau,7,25.9
-bigquery,6,22.2
-airflow,5,18.5
-git,5,18.5
-power bi,4,14.8
-snowflake,3,11.1
-aws,2,7.4
-databricks,2,7.4
-gcp,2,7.4
-github,2,7.4
-oracle,2,7.4
-powerpoint,2,7.4
-redshift,2,7.4
-spss,2,7.4
-azure,1,3.7
-gdpr,1,3.7
-hadoop,1,3.7
-jira,1,3.7
-"""
+GOLDEN = Path(__file__).parent / "golden"
 
 
 def rows(text):
@@ -108,19 +61,23 @@ def test_quadrants(spark):
 
 @pytest.fixture(scope="module")
 def demand(spark):
+    # Two published demand tables, whole.
     schema = "skill string, postings long, share_of_pct double"
-    return spark.createDataFrame(rows(BASE_DEMAND), schema), spark.createDataFrame(rows(NEW_DEMAND), schema)
+    texts = [(GOLDEN / f"skill_demand_{name}.csv").read_text().split("\n", 1)[1] for name in ("base", "new")]
+    assert [len(rows(text)) for text in texts] == [201, 33]
+    return [spark.createDataFrame(rows(text), schema) for text in texts]
 
 
 def test_comparison(demand):
     merged = compare_tables(*demand)
+    assert merged.count() == 185
     top = merged.orderBy(F.desc("rank_on"), "skill").limit(10)
-    assert {row[0] for row in as_tuples(top, "skill")} == {
+    assert [row[0] for row in as_tuples(top, "skill")] == [
         "sql", "python", "excel", "tableau", "looker", "power bi", "bigquery", "airflow", "git", "snowflake",
-    }
+    ]
     shares = {row[0]: row[1:] for row in as_tuples(merged, "skill", "postings_base", "share_base", "share_new")}
     assert "r" not in shares and "sas" not in shares and "sheets" not in shares
-    assert shares["airflow"] == (None, 0.0, 18.5)
+    assert shares["airflow"] == (225, 2.0, 18.5)
     assert shares["spark"] == (361, 3.1, 0.0)
 
 
