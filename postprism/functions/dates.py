@@ -27,11 +27,14 @@ def as_utc_wall_time(instant: Column) -> Column:
 
 
 def posting_time(posted: Column) -> Column:
-    """Posting time of a feed record: epoch seconds or an ISO text; NULL when it is neither."""
-    seconds = F.when(posted.rlike(r"^\d{1,11}$"), posted.cast("bigint"))
-    from_epoch = as_utc_wall_time(F.timestamp_seconds(seconds))
+    """Posting time of a feed record: epoch seconds, or milliseconds where there are 12 digits or more, or an ISO text;
+    NULL when it is none of these."""
+    digits = F.when(posted.rlike(r"^\d{1,15}$"), posted.cast("bigint"))
+    from_epoch = as_utc_wall_time(
+        F.when(F.length(posted) <= 11, F.timestamp_seconds(digits)).otherwise(F.timestamp_millis(digits))
+    )
     # A text with an offset is an instant; one without is taken as UTC wall time.
     zoned = posted.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
     from_zoned = as_utc_wall_time(F.when(zoned, posted).try_cast("timestamp"))
-    from_plain = F.when(~zoned, posted).try_cast("timestamp_ntz")
-    return F.when(seconds.isNotNull(), from_epoch).otherwise(F.coalesce(from_zoned, from_plain))
+    from_plain = F.when(~zoned & digits.isNull(), posted).try_cast("timestamp_ntz")
+    return F.when(digits.isNotNull(), from_epoch).otherwise(F.coalesce(from_zoned, from_plain))

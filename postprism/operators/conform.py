@@ -56,8 +56,8 @@ def conform_funnel(records: DataFrame, terms: Sequence[str] = ROLE_TERMS) -> Dat
 
 
 def number_postings(records: DataFrame) -> DataFrame:
-    """Records with a dense ``job_id`` in order of arrival."""
-    return surrogate_key(records, "job_id", ["arrival"])
+    """Records with a dense ``job_id`` in order of arrival, which is unique."""
+    return surrogate_key(records, "job_id", ["arrival"], unique=True)
 
 
 def conform_fact(
@@ -70,8 +70,8 @@ def conform_fact(
 ) -> DataFrame:
     """Numbered records as fact rows; measures the feeds do not state are NULL.
 
-    ``collected_at`` stamps every row, so a run can be repeated. With ``keep_posted`` the true posting date
-    is kept where the feed states one.
+    ``collected_at`` stamps every row, so a run can be repeated. With ``keep_posted`` the posting date is the one
+    the feed states, and NULL where it states none that can be read; ``posting_dates`` counts these.
     """
     stamp = F.lit(collected_at.isoformat(sep=" ")).cast("timestamp_ntz")
     columns = {
@@ -85,7 +85,7 @@ def conform_fact(
         "job_schedule_type": F.col("schedule"),
         "job_work_from_home": F.col("remote"),
         "search_location": F.col("location"),
-        "job_posted_date": F.coalesce(posting_time(F.col("posted")), stamp) if keep_posted else stamp,
+        "job_posted_date": posting_time(F.col("posted")) if keep_posted else stamp,
     }
     named = lookup_join(
         postings.drop("text").withColumn("name", F.coalesce("company", F.lit("Unknown"))), company, "name"
@@ -95,6 +95,18 @@ def conform_fact(
     )
 
 
+def posting_dates(records: DataFrame) -> DataFrame:
+    """How the feeds state posting dates: source, stated, readable, unreadable, missing."""
+    stated = F.trim(F.coalesce("posted", F.lit(""))) != ""
+    readable = posting_time(F.col("posted")).isNotNull()
+    return records.groupBy("source").agg(
+        F.count_if(stated).alias("stated"),
+        F.count_if(stated & readable).alias("readable"),
+        F.count_if(stated & ~readable).alias("unreadable"),
+        F.count_if(~stated).alias("missing"),
+    )
+
+
 def conform_star(
     records: DataFrame,
     skill: DataFrame,
@@ -104,15 +116,19 @@ def conform_star(
     other: str = OTHER_ROLE,
     keep_posted: bool = False,
 ) -> Star:
-    """Feed records as a dataset of the same schema and with the same skill ids as the base dataset."""
-    unique = keep_first(role_filter(records, terms), posting_key())
+    """Feed records as a dataset of the same schema and with the same skill ids as the base dataset.
+
+    Records are filtered, reduced and numbered without their texts; the texts of those that stay are joined once.
+    """
+    unique = keep_first(role_filter(records.drop("text"), terms), posting_key())
     postings = number_postings(unique)
+    texts = records.select("arrival", "text").join(postings.select("arrival", "job_id"), "arrival").select("job_id", "text")
     company = first_seen_dimension(postings, "company", "job_id", "company_id")
     return Star(
         fact=conform_fact(postings, company, collected_at, rules, other, keep_posted),
         company=company,
         skill=skill,
-        bridge=extract_terms(postings, usable_vocabulary(skill), "job_id"),
+        bridge=extract_terms(texts, usable_vocabulary(skill), "job_id"),
     )
 
 

@@ -12,16 +12,18 @@ from postprism.session import materialise
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row's position in the low 33 bits
 
 
-def surrogate_key(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
+def surrogate_key(df: DataFrame, key: str, order_by: Sequence[str], unique: bool = False) -> DataFrame:
     """Number rows 1..n by ``order_by`` (NULLs last), then by every other column.
 
+    ``unique`` says that no two rows share ``order_by``: other columns, such as long texts, are then neither sampled nor compared.
+
     Equal to ``row_number()`` over one global order, but the sort is split by ranges: each task
     sorts its range, a row knows its place in the range, and the ranges' row counts give the offset.
     Using all columns as tie-breakers makes the key repeatable and lets a run of equal leading
     columns be cut into several ranges; rows should be distinct (drop full duplicates first).
     Range bounds come from a sample, so the placed rows are written once before they are read twice.
     """
-    ties = [name for name in df.columns if name not in order_by]
+    ties = [] if unique else [name for name in df.columns if name not in order_by]
     order = [F.col(name).asc_nulls_last() for name in (*order_by, *ties)]
     placed = materialise(
         df.repartitionByRange(*order)
@@ -49,4 +51,4 @@ def first_seen_dimension(rows: DataFrame, name: str, order: str, key: str, missi
     rows costs one row per task.
     """
     firsts = rows.groupBy(F.coalesce(F.col(name), F.lit(missing)).alias("name")).agg(F.min(order).alias("_first"))
-    return surrogate_key(firsts, key, ["_first"]).select(key, "name")
+    return surrogate_key(firsts, key, ["_first", "name"], unique=True).select(key, "name")

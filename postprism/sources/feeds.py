@@ -111,7 +111,9 @@ def arrival_number(feed_rank: int, file_no: Column, item_no: Column) -> Column:
     if feed_rank >= 1 << _FEED_BITS:
         raise ValueError(f"at most {1 << _FEED_BITS} feeds")
     high = F.lit(feed_rank << (_FILE_BITS + _ITEM_BITS)).cast("bigint")
-    return high + F.shiftleft(file_no.cast("bigint"), _ITEM_BITS) + item_no.cast("bigint")
+    number = high + F.shiftleft(file_no.cast("bigint"), _ITEM_BITS) + item_no.cast("bigint")
+    fits = (file_no < F.lit(1 << _FILE_BITS)) & (item_no < F.lit(1 << _ITEM_BITS))
+    return F.when(fits, number).otherwise(F.raise_error(F.lit("too many files of a feed, or items of a file")).cast("bigint"))
 
 
 def _payloads(files: DataFrame, feed: Feed) -> DataFrame:
@@ -164,10 +166,11 @@ def stream_feed(spark: SparkSession, path: str, source: str, files_per_batch: in
 
 
 def read_feeds(spark: SparkSession, paths: Mapping[str, str]) -> tuple[DataFrame | None, dict[str, str]]:
-    """All landed feeds below each other, and the reason for each one left out.
+    """All landed feeds below each other, and what is wrong with each one that is not read whole.
 
     ``paths`` maps a feed's name to its folder. A feed whose folder is missing or unreadable is skipped, the
-    others are read. No feed at all gives None.
+    others are read. Of a feed with undecodable payloads the other payloads are read, and their number is reported; that takes
+    a pass over the payloads. No feed at all gives None.
     """
     shapes = feed_shapes()
     records, skipped = [], {}
@@ -178,6 +181,10 @@ def read_feeds(spark: SparkSession, paths: Mapping[str, str]) -> tuple[DataFrame
             records.append(read_feed(spark, paths[source], source, feed, rank))
         except AnalysisException as problem:
             skipped[source] = problem.getCondition() or str(problem)
+    readable = {source: path for source, path in paths.items() if source in shapes and source not in skipped}
+    if readable:
+        for row in feed_audit(spark, readable).where("unreadable > 0").collect():  # one row per feed
+            skipped[row["source"]] = f"{row['unreadable']} of {row['files']} payloads unreadable"
     return (reduce(DataFrame.unionByName, records) if records else None), skipped
 
 

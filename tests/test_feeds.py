@@ -69,7 +69,7 @@ def test_failing_feeds_are_named_and_the_others_read(spark, landed, tmp_path):
     (tmp_path / "broken.json").write_text("<html>busy</html>")
     paths = {**landed, "jobicy": str(tmp_path / "absent"), "himalayas": str(tmp_path / "broken.json")}
     records, skipped = read_feeds(spark, paths)
-    assert set(skipped) == {"jobicy"}
+    assert skipped == {"jobicy": "PATH_NOT_FOUND", "himalayas": "1 of 1 payloads unreadable"}
     assert {row[0] for row in as_tuples(records, "source")} == {"arbeitnow", "remoteok"}
     assert read_feeds(spark, {"jobicy": str(tmp_path / "absent")})[0] is None
     assert as_tuples(feed_audit(spark, paths)) == [
@@ -79,6 +79,27 @@ def test_failing_feeds_are_named_and_the_others_read(spark, landed, tmp_path):
     assert as_tuples(feed_audit(spark, landed).where("source = 'himalayas'")) == [("himalayas", 2, 0, 1, None)]
 
 
+def test_texts_are_no_sort_keys(spark, records):
+    unique = conform.keep_first(conform.role_filter(records), conform.posting_key())
+    plan = conform.surrogate_key(unique, "job_id", ["arrival"], unique=True)
+    read = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "title" not in "".join(line for line in read.splitlines() if "RepartitionByExpression" in line)
+
+
+def test_arrival_numbers_do_not_run_over(spark):
+    from postprism.sources.feeds import arrival_number
+
+    row = spark.range(1).select(arrival_number(1, F.lit(1 << 28), F.lit(0)).alias("n"))
+    with pytest.raises(Exception, match="too many files"):
+        row.collect()
+
+
+def test_posting_dates_are_counted(spark):
+    df = spark.createDataFrame([("a", "1700000000"), ("a", "soon"), ("a", " "), ("b", None)], "source string, posted string")
+    got = sorted(as_tuples(conform.posting_dates(df), "source", "stated", "readable", "unreadable", "missing"))
+    assert got == [("a", 2, 1, 1, 1), ("b", 0, 0, 0, 1)]
+
+
 def test_conformed_star(spark, records):
     skill = spark.createDataFrame(SKILLS, "skill_id long, skills string")
     star = conform.conform_star(records, skill, NOW)
@@ -119,12 +140,12 @@ def test_posting_time_does_not_depend_on_the_session_zone(spark, zone):
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
         df = spark.createDataFrame(
-            [("1700000000",), ("2023-11-14T22:13:20Z",), ("2023-11-14 22:13:20",), ("soon",), (None,)], "p string"
+            [("1700000000",), ("1700000000000",), ("2023-11-14T22:13:20Z",), ("2023-11-14 22:13:20",), ("soon",), (None,)], "p string"
         )
         got = [row[0] for row in as_tuples(df.select(posting_time(F.col("p"))))]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    assert got == [datetime(2023, 11, 14, 22, 13, 20)] * 3 + [None, None]
+    assert got == [datetime(2023, 11, 14, 22, 13, 20)] * 4 + [None, None]
 
 
 def test_no_postings_give_no_share(spark, records):
