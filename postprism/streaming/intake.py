@@ -55,8 +55,8 @@ def window_counts(stream: DataFrame, ts: str, item: str, width: str, late_by: st
     """Rows per time window and item: window_start, item, postings.
 
     Counts are combined before the shuffle and spread over windows and items. In append mode a window is
-    emitted once, when it is complete, and a row later than ``late_by`` is not counted. In complete mode the
-    whole table is emitted each time and nothing is too late; state then grows with windows x items.
+    emitted once, when it is complete; in update mode whenever its count changes. A row later than ``late_by`` is not
+    counted, and state is kept for the windows that far back only.
     """
     timed = stream.select(as_instant(F.col(ts)).alias("_instant"), F.col(item).alias("item")).withWatermark(
         "_instant", late_by
@@ -82,27 +82,29 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def run_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Process everything available and return the whole aggregate table.
+def run_updates(counts: DataFrame, path: str, checkpoint: str, value: str = "postings") -> DataFrame:
+    """Process everything available of a windowed count in update mode and return its table.
 
-    Each batch writes its own folder, so a batch that is repeated after a failure replaces only itself, and
-    readers never see a half-written table.
+    Each batch appends only the counts it changed, in a folder of its own, so a batch repeated after a failure replaces
+    only itself. The newest count of a window and item holds. The watermark ends a window's state, which therefore does not grow
+    with the stream; rows later than the watermark allows are not counted.
     """
 
     def write(table: DataFrame, batch_id: int) -> None:
         table.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     query = (
-        stream.writeStream.foreachBatch(write)
+        counts.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .outputMode("complete")
+        .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    tables = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(path)
-    newest = tables.agg(F.max("batch").alias("batch"))
-    return tables.join(F.broadcast(newest), "batch").drop("batch")
+    keys = [name for name in counts.columns if name != value]
+    stored = T.StructType([*counts.schema.fields, T.StructField("batch", T.LongType())])
+    changes = counts.sparkSession.read.schema(stored).parquet(path)
+    return changes.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
 
 
 def window_shares(counts: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def test_window_shares_over_batches(spark, stream, tmp_path):
     land(spark, folder, "a", [(i, START + timedelta(hours=i), "x" if i % 3 else "y") for i in range(6)])
     land(spark, folder, "b", [(9, START + timedelta(days=8), "y"), (10, START + timedelta(days=6, hours=23), "x")])
     counts = intake.window_counts(stream(), "ts", "item", "7 days", "1 hour")
-    table = intake.window_shares(intake.run_complete(counts, str(tmp_path / "out"), str(tmp_path / "state")))
+    table = intake.window_shares(intake.run_updates(counts, str(tmp_path / "out"), str(tmp_path / "state")))
     assert sorted(as_tuples(table)) == [
         (START, "x", 5, 71.4),
         (START, "y", 2, 28.6),
