@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postprism.functions.dates import posting_time
 from postprism.functions.text import classify_title, clean_text, strip_markup
 from postprism.operators import conform, prepare, table_changes
 from postprism.operators.history import append_history
 from postprism.operators.keys import first_seen_dimension
 from postprism.operators.population import population_funnel
-from postprism.operators.terms import extract_terms, usable_vocabulary
+from postprism.operators.terms import BROADCAST_TERMS, extract_terms, usable_vocabulary
 from postprism.plans import calendar, demand, pay, quality, trend
-from postprism.plans.oracle import PAGE_RULES, PART_RULES, TITLE_WORDS
 from postprism.session import work_folder
 from postprism.sources import feeds, postings, testdata
 from postprism.star import Star
@@ -26,6 +26,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 ROLE = testdata.MAIN_ROLE
 COLLECTED_AT = datetime(2024, 2, 1, 12, 0, 0)
 SPLIT_DATE = "1998-04-15 00:00:00"
+# Words and rules for the test titles; the SQL states its own.
+TITLE_WORDS = ("the", "nicht", "de", "and", "el")
+PAGE_RULES = (("nicht", "German"), ("the", "English"), ("que", "Romance"), ("de", "Romance"))
+PART_RULES = (("small", "Small thing"), ("red", "Red thing"), ("ring", "Ring"), ("g", "Thing with g"))
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -56,10 +60,6 @@ def _keyed(spark: SparkSession, folder: str) -> DataFrame:
     return prepare.key_postings(prepare.full_row_dedup(testdata.wide_rows(spark, folder)))
 
 
-def _built(spark: SparkSession, folder: str) -> tuple[Star, DataFrame]:
-    return prepare.build_star(testdata.wide_rows(spark, folder))
-
-
 def _fact(spark: SparkSession, folder: str) -> DataFrame:
     keyed = _keyed(spark, folder)
     return prepare.build_fact(keyed, prepare.company_dimension(keyed))
@@ -72,8 +72,32 @@ def _bridge(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _load_audit(spark: SparkSession, folder: str) -> DataFrame:
-    star, keyed = _built(spark, folder)
-    return prepare.load_audit(testdata.wide_rows(spark, folder), keyed, star)
+    return _audit(spark, testdata.wide_rows(spark, folder))
+
+
+def _audit(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The star is written once and its stored tables are counted."""
+    star, keyed = prepare.build_star(rows)
+    path = work_folder(spark, "audited-star")
+    postings.write_star(star, path)
+    return prepare.load_audit(rows, keyed, postings.read_star(spark, path))
+
+
+def _damaged_star(spark: SparkSession, folder: str) -> Star:
+    """Companies lost and nameless, skills lost and repeated, postings and pairs repeated, pairs without a skill."""
+    star = testdata.star(spark, folder)
+    customers = testdata.table(spark, folder, "customer").where(F.col("c_acctbal") >= -900)
+    twice = star.fact.where(F.col("job_schedule_type") == "Part-time")
+    return Star(
+        fact=star.fact.union(twice),
+        company=customers.select(
+            F.col("c_custkey").alias("company_id"), F.when(F.col("c_acctbal") >= 0, F.col("c_name")).alias("name")
+        ),
+        skill=star.skill.where(~F.col("skills").endswith("BRASS")).union(star.skill.where(F.col("skills").startswith("Brand#1 "))),
+        bridge=star.bridge.union(star.bridge.where("skill_id < 20")).union(
+            twice.select("job_id", F.lit(None).cast("bigint").alias("skill_id"))
+        ),
+    )
 
 
 def _csv_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,6 +106,29 @@ def _csv_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(postings.read_postings_csv(spark, path))
 
 
+def _damaged_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Posting files with the columns in reverse order, one more column, and pay that is no number in insured postings."""
+    path = work_folder(spark, "postings-csv-extra")
+    rows = testdata.wide_rows(spark, folder)
+    pay = F.col("salary_year_avg").cast("string")
+    damaged = rows.withColumn("salary_year_avg", F.when(F.col("job_health_insurance"), F.concat(F.lit("$"), pay)).otherwise(pay))
+    columns = [F.concat("job_title", F.lit(" noted")).alias("note"), *reversed(rows.columns)]
+    damaged.select(*columns).write.option("header", True).option("escape", '"').csv(path)
+    return postings.read_postings_csv(spark, path)
+
+
+def _audit_of_damaged_csv(spark: SparkSession, folder: str) -> DataFrame:
+    return _audit(spark, _damaged_csv(spark, folder))
+
+
+def _stated_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Order dates as feeds may state them: epoch seconds, epoch milliseconds, or nothing that can be read."""
+    seconds = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    status = F.col("o_orderstatus")
+    posted = F.when(status == "F", seconds.cast("string")).when(status == "O", (seconds * 1000).cast("string")).otherwise("soon")
+    return testdata.table(spark, folder, "orders").select("o_orderkey", F.col("o_orderpriority").alias("source"), posted.alias("posted"))
+
+
 def _star_files(spark: SparkSession, folder: str) -> DataFrame:
     path = work_folder(spark, "star-csv")
     postings.write_star(testdata.star(spark, folder), path, format="csv")
@@ -130,9 +177,9 @@ def _first_documents(documents: DataFrame) -> DataFrame:
     return kept.select("doc_id", F.col("company").alias("lang"), F.col("title").alias("text"))
 
 
-def _document_terms(spark: SparkSession, folder: str) -> DataFrame:
+def _document_terms(spark: SparkSession, folder: str, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     terms = usable_vocabulary(testdata.vocabulary(spark, folder))
-    return extract_terms(testdata.table(spark, folder, "documents"), terms, "doc_id")
+    return extract_terms(testdata.table(spark, folder, "documents"), terms, "doc_id", broadcast_terms=broadcast_terms)
 
 
 def _collections(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,7 +228,7 @@ def _stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def _stream_trend(spark: SparkSession, folder: str) -> DataFrame:
     counts = intake.window_counts(_event_stream(spark, folder), "ts", "event_type", "7 days", "60 days")
     return intake.window_shares(
-        intake.run_complete(counts, work_folder(spark, "trend"), work_folder(spark, "trend-state"))
+        intake.run_updates(counts, work_folder(spark, "trend"), work_folder(spark, "trend-state"))
     )
 
 
@@ -217,6 +264,7 @@ def queries() -> dict[str, Query]:
             lambda star: quality.near_duplicates(star, ("company_id", "job_title_short", "job_location"))
         ),
         "integrity_report": _on_star(quality.integrity_report),
+        "integrity_report_damaged": lambda spark, folder: quality.integrity_report(_damaged_star(spark, folder)),
         "location_buckets": _on_star(lambda star: quality.location_buckets(star, ROLE)),
         "companies_without_degree": _on_star(quality.companies_without_degree),
         "company_counts": _on_star(quality.company_counts),
@@ -238,6 +286,8 @@ def queries() -> dict[str, Query]:
             "lineitem", lambda lines: prepare.full_row_dedup(lines.select("l_orderkey", "l_partkey"))
         ),
         "read_postings_csv": _csv_rows,
+        "read_postings_csv_extra": lambda spark, folder: _plain(_damaged_csv(spark, folder)),
+        "load_audit_csv": _audit_of_damaged_csv,
         "write_star": _star_files,
         "surrogate_key": lambda spark, folder: _plain(_keyed(spark, folder)),
         "company_dimension": lambda spark, folder: prepare.company_dimension(testdata.wide_rows(spark, folder)),
@@ -273,6 +323,11 @@ def queries() -> dict[str, Query]:
             testdata.page_records(spark, folder), TITLE_WORDS
         ),
         "extract_terms": _document_terms,
+        "extract_terms_shuffled": lambda spark, folder: _document_terms(spark, folder, broadcast_terms=0),
+        "posting_dates": lambda spark, folder: conform.posting_dates(_stated_dates(spark, folder)),
+        "posting_times": lambda spark, folder: _stated_dates(spark, folder).select(
+            "o_orderkey", posting_time(F.col("posted")).alias("posted")
+        ),
         "first_seen_dimension": _on_table(
             "documents", lambda docs: first_seen_dimension(docs, "source", "doc_id", "company_id")
         ),

@@ -6,8 +6,9 @@ uses a form made for scale.
 
 from __future__ import annotations
 
-from postprism.functions.text import WHITE_SPACE
-from postprism.operators.terms import AMBIGUOUS
+# Fixed values, stated here apart from the library's own: white space by code, and terms that are also ordinary words.
+SPACES = (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+ORDINARY = "r c go ai bi word flow sheets access express unify sas swift ruby julia dart crystal chef puppet".split()
 
 ROLE = "1-URGENT"
 FACT = """
@@ -112,7 +113,8 @@ def _near(alike: str) -> str:
     FROM alike"""
 
 
-def _integrity() -> str:
+def _integrity(prefix: str = "", more: str = "") -> str:
+    """``prefix``: of the names of the tables to check; ``more``: their definitions."""
     keys = [
         ("company_dim", "company_id"),
         ("skills_dim", "skill_id"),
@@ -131,16 +133,16 @@ def _integrity() -> str:
     ]
     parts = [
         f"SELECT 'primary key' AS \"check\", '{t}' AS table_name, '{k}' AS column_name, COUNT(*) AS violations "
-        f"FROM (SELECT {k} FROM {t} GROUP BY {k} HAVING COUNT(*) > 1)"
+        f"FROM (SELECT {k} FROM {prefix}{t} GROUP BY {k} HAVING COUNT(*) > 1)"
         for t, k in keys
     ]
     parts += [
-        f"SELECT 'foreign key', '{t}', '{c}', COUNT(*) FROM {t} a WHERE a.{c} IS NOT NULL "
-        f"AND NOT EXISTS (SELECT 1 FROM {r} b WHERE b.{c} = a.{c})"
+        f"SELECT 'foreign key', '{t}', '{c}', COUNT(*) FROM {prefix}{t} a WHERE a.{c} IS NOT NULL "
+        f"AND NOT EXISTS (SELECT 1 FROM {prefix}{r} b WHERE b.{c} = a.{c})"
         for t, c, r in refs
     ]
-    parts += [f"SELECT 'not null', '{t}', '{c}', COUNT(*) FROM {t} WHERE {c} IS NULL" for t, c in required]
-    return f"WITH {TABLES} " + " UNION ALL ".join(parts)
+    parts += [f"SELECT 'not null', '{t}', '{c}', COUNT(*) FROM {prefix}{t} WHERE {c} IS NULL" for t, c in required]
+    return f"WITH {TABLES}{more} " + " UNION ALL ".join(parts)
 
 
 POSTING_COLUMNS = """job_title_short, job_title, job_location, job_via, job_schedule_type, job_work_from_home,
@@ -149,6 +151,9 @@ POSTING_COLUMNS = """job_title_short, job_title, job_location, job_via, job_sche
 POSTING_DOUBLES = POSTING_COLUMNS.replace("salary_year_avg", "CAST(salary_year_avg AS DOUBLE) AS salary_year_avg").replace(
     "salary_hour_avg", "CAST(salary_hour_avg AS DOUBLE) AS salary_hour_avg"
 )
+_YEAR = "CAST(salary_year_avg AS DOUBLE) AS salary_year_avg"
+_DAMAGED = "(job_health_insurance AND salary_year_avg IS NOT NULL)"
+_DAMAGED_YEAR = "CASE WHEN NOT job_health_insurance THEN CAST(salary_year_avg AS DOUBLE) END AS salary_year_avg"
 WIDE = f"""{FACT}, {PART_SKILL},
 lists AS (
   SELECT l_orderkey AS job_id, '[''' || string_agg(skills, ''', ''' ORDER BY skills) || ''']' AS job_skills
@@ -180,7 +185,7 @@ bridge AS (
   SELECT DISTINCT p.job_id, s.skill_id FROM pairs p JOIN skills_dim s ON s.skills = p.skills
   JOIN fact f ON f.job_id = p.job_id)"""
 
-_SPACE = "'" + WHITE_SPACE + "'"
+_SPACE = " || ".join(f"chr({code})" for code in SPACES)
 
 
 def _plain(column: str) -> str:
@@ -229,7 +234,7 @@ fact AS (
     CAST(NULL AS VARCHAR) AS salary_rate, CAST(NULL AS DOUBLE) AS salary_year_avg,
     CAST(NULL AS DOUBLE) AS salary_hour_avg
   FROM numbered n JOIN companies c ON c.name = COALESCE(n.company, 'Unknown'))"""
-_AMBIGUOUS = ", ".join(f"'{word}'" for word in AMBIGUOUS)
+_AMBIGUOUS = ", ".join(f"'{word}'" for word in ORDINARY)
 VOCABULARY = f"""
 vocabulary AS (
   SELECT ROW_NUMBER() OVER (ORDER BY skills) AS skill_id, skills FROM (
@@ -331,6 +336,18 @@ def oracle_sql() -> dict[str, str]:
         "near_duplicates": _near("job_title, company_id, job_location, job_via, job_posted_date"),
         "near_duplicates_by_role": _near("company_id, job_title_short, job_location"),
         "integrity_report": _integrity(),
+        "integrity_report_damaged": _integrity(
+            "d_",
+            """,
+            d_company_dim AS (SELECT c_custkey AS company_id, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_name END AS name
+              FROM customer WHERE c_acctbal >= -900),
+            d_skills_dim AS (SELECT * FROM skills_dim WHERE skills NOT LIKE '%BRASS'
+              UNION ALL SELECT * FROM skills_dim WHERE skills LIKE 'Brand#1 %'),
+            d_job_postings_fact AS (SELECT * FROM job_postings_fact
+              UNION ALL SELECT * FROM job_postings_fact WHERE job_schedule_type = 'Part-time'),
+            d_skills_job_dim AS (SELECT * FROM skills_job_dim UNION ALL SELECT * FROM skills_job_dim WHERE skill_id < 20
+              UNION ALL SELECT job_id, NULL FROM job_postings_fact WHERE job_schedule_type = 'Part-time')""",
+        ),
         "location_buckets": f"""WITH {FACT}, t AS (
               SELECT CASE job_location WHEN 'Anywhere' THEN 'Remote' WHEN 'New York, NY' THEN 'Local' ELSE 'Onsite' END
                 AS location_category
@@ -375,6 +392,19 @@ def oracle_sql() -> dict[str, str]:
         "full_row_dedup": "SELECT DISTINCT text, lang FROM documents",
         "full_row_dedup_lines": "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem",
         "read_postings_csv": f"WITH {WIDE} SELECT {POSTING_DOUBLES}, company_name, job_skills FROM wide",
+        "read_postings_csv_extra": f"""WITH {WIDE}
+            SELECT {POSTING_DOUBLES.replace(_YEAR, _DAMAGED_YEAR)}, company_name, job_skills, job_title || ' noted' AS note,
+              CASE WHEN {_DAMAGED} THEN '{{"salary_year_avg":"$' || CAST(salary_year_avg AS VARCHAR) || '"}}' END AS _rejected
+            FROM wide""",
+        "load_audit_csv": f"""WITH {PREPARED}
+            SELECT 'source rows' AS metric, COUNT(*) AS rows FROM wide
+            UNION ALL SELECT 'with rejected values', COUNT(*) FROM wide WHERE {_DAMAGED}
+            UNION ALL SELECT 'duplicates removed', (SELECT COUNT(*) FROM wide) - (SELECT COUNT(*) FROM staged)
+            UNION ALL SELECT 'no company, dropped', COUNT(*) FROM staged WHERE company_name IS NULL
+            UNION ALL SELECT 'company_dim', COUNT(*) FROM company_dim
+            UNION ALL SELECT 'skills_dim', COUNT(*) FROM skills_dim
+            UNION ALL SELECT 'job_postings_fact', COUNT(*) FROM fact
+            UNION ALL SELECT 'skills_job_dim', COUNT(*) FROM bridge""",
         "write_star": f"""WITH {TABLES}
             SELECT job_id, name AS company_name, skills AS skill, CAST(salary_year_avg AS DOUBLE) AS salary_year_avg
             FROM job_postings_fact JOIN company_dim USING (company_id) LEFT JOIN skills_job_dim USING (job_id)
@@ -387,6 +417,7 @@ def oracle_sql() -> dict[str, str]:
         "build_bridge": f"WITH {PREPARED} SELECT job_id, skill_id FROM bridge",
         "load_audit": f"""WITH {PREPARED}
             SELECT 'source rows' AS metric, COUNT(*) AS rows FROM wide
+            UNION ALL SELECT 'with rejected values', 0
             UNION ALL SELECT 'duplicates removed', (SELECT COUNT(*) FROM wide) - (SELECT COUNT(*) FROM staged)
             UNION ALL SELECT 'no company, dropped', COUNT(*) FROM staged WHERE company_name IS NULL
             UNION ALL SELECT 'company_dim', COUNT(*) FROM company_dim
@@ -428,6 +459,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'fetched' AS stage, COUNT(*) AS postings FROM records
             UNION ALL SELECT 'role-matched', COUNT(*) FROM matched
             UNION ALL SELECT 'unique', COUNT(*) FROM uniques""",
+        "extract_terms_shuffled": f"WITH {VOCABULARY} {_found('documents', 'doc_id')}",
+        "posting_dates": """
+            SELECT o_orderpriority AS source, COUNT(*) AS stated, COUNT(*) FILTER (WHERE o_orderstatus <> 'P') AS readable,
+              COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS unreadable, CAST(0 AS BIGINT) AS missing
+            FROM orders GROUP BY 1""",
+        "posting_times": """
+            SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS posted FROM orders""",
         "extract_terms": f"WITH {VOCABULARY} {_found('documents', 'doc_id')}",
         "first_seen_dimension": """
             SELECT ROW_NUMBER() OVER (ORDER BY first) AS company_id, name

@@ -50,15 +50,19 @@ def top_without_skills(star: Star, role: str = MAIN_ROLE, k: int = 10) -> DataFr
 def near_duplicates(star: Star, alike: Sequence[str] = ALIKE) -> DataFrame:
     """Groups of postings alike on some columns, and how many of them disagree on skills; one row.
 
-    Postings are first counted per (group, skill set): a group that holds a third of all postings is
-    spread over its skill sets and combined map-side before the groups are counted.
+    Only postings of groups with more than one have their skills gathered: as a rule few. They are first counted per
+    (group, skill set): a group that holds a third of all postings is spread over its skill sets and combined map-side
+    before the groups are counted.
     """
-    sets = star.bridge.groupBy("job_id").agg(
+    repeated = star.fact.groupBy(*alike).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 1)
+    repeated = repeated.select(*[F.col(name).alias(f"_{name}") for name in alike])
+    together = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in alike])
+    fact = star.fact.select("job_id", *alike).join(repeated, together, "left_semi")
+    sets = star.bridge.join(fact.select("job_id"), "job_id", "left_semi").groupBy("job_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("skill_id")), lambda c: c.cast("string")), ",").alias("_set")
     )
     same = (
-        star.fact.select("job_id", *alike)
-        .join(sets, "job_id", "left")
+        fact.join(sets, "job_id", "left")
         .groupBy(*alike, F.coalesce("_set", F.lit("")).alias("_set"))
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
