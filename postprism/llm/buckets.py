@@ -14,55 +14,60 @@ from postprism.session import materialise
 def groups_in_buckets(
     keys: DataFrame,
     near: Callable[[Column, Column], Column],
+    codes: DataFrame | None = None,
     verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
     label: str = "buckets",
 ) -> DataFrame:
     """Components of the links between nodes that share a bucket and are near: ``(node, component)``.
 
-    ``keys (bucket, node, code)``: a node and its code under each of its bucket keys. Two nodes link if they share a
-    bucket, ``near(code, code)`` holds and ``verify`` keeps their pair ``(a, b)``. Nodes without links give no row.
+    ``keys (bucket, node)``: each node's bucket keys. ``codes (node, code)`` are compared by ``near``; without them a node is
+    its own code. Two nodes link if they share a bucket, their codes are near and ``verify`` keeps their pair
+    ``(a, b)``. Nodes without links give no row.
 
     A bucket of n copies would hold n * n pairs. So each member is first compared with the bucket's smallest node
     only; what that connects needs no further look. Then only members of *different* components of a bucket are
     compared, each with each. Every link left out lies within one component, so the components are those of all links.
     """
-    keys = materialise(keys, f"{label}-keys")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        if codes is None:
+            return verify(pairs.where(near(F.col("a"), F.col("b"))))
+        for end in ("a", "b"):
+            pairs = pairs.join(codes.select(F.col("node").alias(end), F.col("code").alias(f"{end}_code")), end)
+        return verify(pairs.where(near(F.col("a_code"), F.col("b_code"))).select("a", "b"))
+
     hubs = (
         keys.groupBy("bucket")
-        .agg(F.min("node").alias("hub"), F.min_by("code", "node").alias("hub_code"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 1)
-        .drop("n")
-    )
-    first = (
-        keys.join(hubs, "bucket")
-        .where((F.col("node") != F.col("hub")) & near(F.col("code"), F.col("hub_code")))
-        .select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        .distinct()
+        .agg(F.min("node").alias("hub"), F.max("node").alias("last"))
+        .where(F.col("hub") < F.col("last"))
+        .drop("last")
     )
-    links = materialise(verify(first), f"{label}-first")
+    members = materialise(keys.join(hubs, "bucket"), f"{label}-members")  # of buckets with more than one node
+    first = members.where(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = materialise(linked(first), f"{label}-first")
     groups = connected_components(links, label)
 
-    named = keys.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = (
         named.groupBy("bucket")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where(F.col("low") < F.col("high"))
         .select("bucket")
     )
-    named = materialise(named.join(mixed, "bucket", "left_semi").select("bucket", "component", "node", "code"), f"{label}-mixed")
+    named = materialise(named.join(mixed, "bucket", "left_semi").select("bucket", "component", "node"), f"{label}-mixed")
     parts = named.select("bucket", "component").distinct()
     facing = parts.join(parts.select("bucket", F.col("component").alias("other")), "bucket").where(
         F.col("component") < F.col("other")
     )
     across = (
         named.join(facing, ["bucket", "component"])
-        .select("bucket", F.col("other").alias("component"), F.col("node").alias("a"), F.col("code").alias("a_code"))
+        .select("bucket", F.col("other").alias("component"), F.col("node").alias("a"))
         .join(named, ["bucket", "component"])
-        .where(near(F.col("a_code"), F.col("code")))
         .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         .distinct()
+        .join(first, ["a", "b"], "left_anti")  # looked at before
     )
-    more = materialise(verify(across), f"{label}-across")
+    more = materialise(linked(across), f"{label}-across")
     if more.isEmpty():
         return groups
     return connected_components(links.union(more), label)

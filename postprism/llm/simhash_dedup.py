@@ -114,7 +114,7 @@ class Golay:
 
 
 def golay_keys(prints: DataFrame) -> DataFrame:
-    """``(bucket, node, code)``: the bucket keys of distinct fingerprints; node and code are the fingerprint.
+    """``(bucket, node)``: the bucket keys of distinct fingerprints, which are the nodes.
 
     The 64 bits are cut into segments of 23, 23 and 18. Of at most two differing bits, at least one segment has none, and
     the next segment has at most two. So the key is one segment exactly and one Golay key of the next, in each of the three
@@ -135,10 +135,9 @@ def golay_keys(prints: DataFrame) -> DataFrame:
                     row, column = np.nonzero(fresh)
                     buckets.append((turn << 40) | (parts[turn][row] << _MESSAGE) | keys[row, column])
                     nodes.append(prints[row])
-                node = np.concatenate(nodes)
-                yield pa.record_batch([np.concatenate(buckets), node, node], names=["bucket", "node", "code"])
+                yield pa.record_batch([np.concatenate(buckets), np.concatenate(nodes)], names=["bucket", "node"])
 
-    return prints.select("fingerprint").mapInArrow(of, "bucket long, node long, code long")
+    return prints.select("fingerprint").mapInArrow(of, "bucket long, node long")
 
 
 def within(bits: int):
@@ -157,7 +156,7 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     """
     prints = materialise(fingerprints(docs, key, text, words), "fingerprints")
     distinct = materialise(prints.groupBy("fingerprint").agg(F.min(key).alias("first")), "distinct-fingerprints")
-    groups = groups_in_buckets(golay_keys(distinct), within(BITS), label="simhash")
+    groups = groups_in_buckets(materialise(golay_keys(distinct), "golay-keys"), within(BITS), label="simhash")
     grouped = distinct.join(groups, distinct["fingerprint"] == groups["node"]).select("fingerprint", "component", "first")
     smallest = grouped.groupBy("component").agg(F.min("first").alias("smallest"))
     named = grouped.join(smallest, "component").select("fingerprint", "smallest")
