@@ -21,7 +21,7 @@ from postprism.llm.words import parts, split_words, trimmed
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 _END = "</w>"
 _LEAF = -1  # a trie node's entry for a piece that ends there
-_CACHED = 200_000  # words and pieces a worker remembers
+_CACHED = 500_000  # words and pieces a worker remembers
 _INSERTED = 20_000  # pieces per trie
 
 
@@ -54,8 +54,44 @@ class Vocabulary:
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             merged = model["vocab"][left + right]
             self.merges[model["vocab"][left], model["vocab"][right]] = (rank, merged)
-        self.longest = max(map(len, self.bytes.values()))
-        self.meets: dict[tuple[int, int], bool] = {}
+        self.lengths = {number: len(body) for number, body in self.bytes.items()}
+        self.meets: dict[int, bool] = {}
+        self._index_suffixes()
+
+    def _index_suffixes(self) -> None:
+        """The tokens' texts as an automaton: each state is a text some token begins with, and lists the tokens it ends
+        with, longest first; ``fallback`` is the longest shorter end of it that is a state too."""
+        self.following: list[dict[int, int]] = [{}]
+        self.inner_ends: list[tuple[tuple[int, int], ...]] = [()]
+        self.final_ends: list[tuple[tuple[int, int], ...]] = [()]
+        for number, body in self.bytes.items():
+            state = 0
+            for value in body:
+                if (after := self.following[state].get(value)) is None:
+                    after = self.following[state][value] = len(self.following)
+                    self.following.append({})
+                    self.inner_ends.append(())
+                    self.final_ends.append(())
+                state = after
+            ends = self.final_ends if self.ends[number] else self.inner_ends
+            ends[state] = ((number, len(body)),)
+        self.fallback = [0] * len(self.following)
+        waiting = [0]
+        for state in waiting:  # by length, so a state's fallback is complete before it
+            for value, after in self.following[state].items():
+                if state:
+                    back = self.fallback[after] = self.step(self.fallback[state], value)
+                    self.inner_ends[after] += self.inner_ends[back]
+                    self.final_ends[after] += self.final_ends[back]
+                waiting.append(after)
+
+    def step(self, state: int, value: int) -> int:
+        """The state after one more byte."""
+        while (after := self.following[state].get(value)) is None:
+            if not state:
+                return 0
+            state = self.fallback[state]
+        return after
 
     def merged(self, body: bytes, final: bool) -> list[int]:
         """The plain definition: merge the pair of lowest rank, leftmost first, until none is left."""
@@ -72,29 +108,32 @@ class Vocabulary:
 
     def may_meet(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart: the merges of their joined text give just them. ``left`` -1: nothing before."""
-        key = (left, right)
+        key = (left + 1) << 20 | right
         if (known := self.meets.get(key)) is None:
             if left < 0:
                 known = self.merged(self.bytes[right], self.ends[right]) == [right]
-            elif key in self.merges:
+            elif (left, right) in self.merges:
                 known = False
             else:
                 known = self.merged(self.bytes[left] + self.bytes[right], self.ends[right]) == [left, right]
-            if len(self.meets) >= 2_000_000:
+            if len(self.meets) >= 1_000_000:
                 self.meets.clear()
             self.meets[key] = known
         return known
 
-    def last_token(self, prefix: bytes, size: int, last: list[int], tokens: dict[bytes, int]) -> int:
-        """The last token of the encoding of ``prefix[:size]``, given the last tokens of all shorter prefixes.
+    def last_token(self, ends: tuple[tuple[int, int], ...], last: list[int]) -> int:
+        """The last token of the encoding of a text of ``len(last)`` bytes, given the tokens it may end with, longest
+        first, and the last tokens of all shorter prefixes, from the empty one.
 
         An encoding is the one sequence in which every two neighbours may meet, so exactly one token fits.
         """
-        for length in range(min(size, self.longest), 0, -1):
-            token = tokens.get(prefix[size - length : size])
-            if token is not None and self.may_meet(last[size - length], token):
+        size = len(last)
+        meets = self.meets
+        for token, length in ends:
+            left = last[size - length]
+            if meets.get((left + 1) << 20 | token) or self.may_meet(left, token):
                 return token
-        raise AssertionError(prefix)
+        raise ValueError("the vocabulary lacks a byte")
 
     def encode_pieces(self, pieces: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
         """Token ids of distinct pieces. They are put in a trie whose nodes are prefixes; a walk in depth-first order
@@ -107,8 +146,9 @@ class Vocabulary:
                 node = node.setdefault(value, {})
             node[_LEAF] = None
         encoded: dict[bytes, tuple[int, ...]] = {}
-        prefix, last = bytearray(), [-1]
+        prefix, last, states = bytearray(), [-1], [0]
         open_nodes = [iter(trie.items())]
+        lengths, final_ends, inner_ends = self.lengths, self.final_ends, self.inner_ends
         while open_nodes:
             entry = next(open_nodes[-1], None)
             if entry is None:
@@ -116,21 +156,26 @@ class Vocabulary:
                 if prefix:
                     prefix.pop()
                     last.pop()
+                    states.pop()
                 continue
             value, child = entry
             if value == _LEAF:
-                piece = bytes(prefix)
-                token = self.last_token(piece, len(piece), last, self.final)
-                tokens, size = [token], len(piece) - len(self.bytes[token])
+                own = last.pop()  # the piece ends here: its last byte is a final one
+                token = self.last_token(final_ends[states[-1]], last)
+                tokens, size = [token], len(prefix) - lengths[token]
                 while size:
-                    tokens.append(last[size])
-                    size -= len(self.bytes[last[size]])
-                encoded[piece] = tuple(reversed(tokens))
+                    token = last[size]
+                    tokens.append(token)
+                    size -= lengths[token]
+                last.append(own)
+                tokens.reverse()
+                encoded[bytes(prefix)] = tuple(tokens)
                 continue
             prefix.append(value)
-            body = bytes(prefix)
+            state = self.step(states[-1], value)
+            states.append(state)
             # a prefix that only leads to its own end as a piece needs no inner state
-            last.append(-2 if len(child) == 1 and _LEAF in child else self.last_token(body, len(body), last, self.inner))
+            last.append(-2 if len(child) == 1 and _LEAF in child else self.last_token(inner_ends[state], last))
             open_nodes.append(iter(child.items()))
         return encoded
 
