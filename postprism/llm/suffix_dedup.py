@@ -8,12 +8,15 @@ under the other values are sorted by suffix; neighbours in that order that share
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from postprism.session import materialise
 
@@ -22,7 +25,8 @@ GRAM = 32  # bytes of a hashed piece
 _RUN = 1_024  # most string starts of a stretch
 _PIECE = 1 << 20  # bytes hashed together
 _BLOCK = 1 << 18  # bytes sorted together, and whole values beyond that
-HOT = 512  # a value with more stretches is spread out over its strings instead
+HOT = 512  # stretches of a value, about, that are sorted together; with more they are dealt out by content
+_CORE_STEP = 16
 
 _ODD, _FIRST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -205,15 +209,19 @@ def common_prefixes(suffixes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     return shared
 
 
-def repeated_starts(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text the starts of strings of LENGTH bytes that occur at another start too, in any of the texts."""
+def repeated_starts(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the starts of strings of LENGTH bytes that occur at another start too, in any of the texts; and the
+    starts that stand for all strings: one of each."""
     suffixes, symbols = suffix_array(texts)
+    ends = np.flatnonzero(symbols == 0)
     long = common_prefixes(suffixes, symbols) >= LENGTH
-    repeated = np.zeros(len(symbols), dtype=bool)
+    repeated, chosen = np.zeros(len(symbols), dtype=bool), np.zeros(len(symbols), dtype=bool)
     repeated[suffixes[long]] = True
     repeated[suffixes[np.flatnonzero(long) - 1]] = True
-    begins = np.concatenate(([0], np.cumsum([len(text) + 1 for text in texts])))
-    return [np.flatnonzero(repeated[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+    whole = ends[np.searchsorted(ends, suffixes)] - suffixes >= LENGTH
+    chosen[suffixes[whole & ~long]] = True
+    begins = np.concatenate(([0], ends + 1))
+    return [(np.flatnonzero(repeated[a:b]), np.flatnonzero(chosen[a:b])) for a, b in zip(begins[:-1], begins[1:], strict=True)]
 
 
 def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -224,63 +232,110 @@ def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
             yield int(starts[a]), int(starts[b]) + LENGTH
 
 
-def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of repeats of stretches sorted by value: blocks of whole values are sorted by suffix."""
-    block: list[tuple[bytes, list[tuple[int, int]]]] = []
-    size, value, content = 0, None, None
-
-    def spans() -> pa.RecordBatch:
-        found = []
-        alone = repeated_starts([text for text, _ in block])
-        for (text, places), starts in zip(block, alone, strict=True):
-            if len(places) > 1:  # copies of a whole stretch are sorted once
-                found += [(number, first, first + len(text)) for number, first in places]
-            else:
-                number, first = places[0]
-                found += [(number, first + a, first + b) for a, b in _runs(starts)]
-        columns = list(zip(*found, strict=True)) or [[], [], []]
-        return pa.record_batch([pa.array(column, pa.int64()) for column in columns], names=["text_id", "begin", "end"])
+@dataclass
+class _Stretch:
+    body: bytes
+    value: int
+    chunk: int
+    spread: bool  # whether the value's other chunks hold further stretches
+    places: list[tuple[int, int]] = field(default_factory=list)  # (text, start): more than one if copied whole
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["value"] != value and size >= _BLOCK:
-                yield spans()
-                block, size, content = [], 0, None
-            if (row["value"], row["content"]) != (value, content) or not block:
-                block.append((row["bytes"], []))
-                size += len(row["bytes"])
-            block[-1][1].append((row["text_id"], row["first"]))
-            value, content = row["value"], row["content"]
-    if block:
-        yield spans()
-
-
-def _string_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of the hot values' stretches by its hash."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            hashes = gram_hashes(np.frombuffer(row["bytes"], dtype=np.uint8).astype(np.uint64), LENGTH).view(np.int64)
-            places = np.arange(row["first"], row["first"] + len(hashes))
-            yield pa.record_batch(
-                [np.full(len(hashes), row["value"]), hashes, np.full(len(hashes), row["text_id"]), places],
-                names=["value", "hash", "text_id", "start"],
-            )
 
+_SORTED = T.StructType(
+    [T.StructField(name, T.LongType()) for name in ("text_id", "begin", "end", "value", "core", "chunk")]
+    + [T.StructField("strings", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("open", T.BooleanType())])))]
+)
 
-def _hot_spans(hot: DataFrame) -> DataFrame:
-    """Spans of the values with very many stretches: their strings are counted by hash, so no task gathers a value.
 
-    Equal stretches are counted first; only one of each goes on to be cut into strings.
+def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two kinds from stretches sorted by value, chunk and content, blocks of whole chunks being sorted by suffix.
+
+    Spans: what repeats within a chunk. Strings, of spread values only: one of each kind in the chunk, by core, open if
+    it did not repeat there. A chunk of equal stretches alone needs no sorting: all of it repeats.
     """
-    alike = hot.groupBy("value", "content").agg(F.count(F.lit(1)).alias("n"), F.min_by("text_id", F.struct("text_id", "first")).alias("of"), F.min(F.struct("text_id", "first"))["first"].alias("at"))
-    known = materialise(hot.drop("bytes").join(alike, ["value", "content"]), "hot-stretches")
-    whole = known.where("n > 1").select("text_id", F.col("first").alias("begin"), (F.col("last") + LENGTH).alias("end"))
-    kept = known.where((F.col("of") == F.col("text_id")) & (F.col("at") == F.col("first"))).select("value", "text_id", "first", "n")
-    cut = hot.select("value", "text_id", "first", "bytes").join(kept, ["value", "text_id", "first"])
-    strings = materialise(cut.select("value", "text_id", "first", "bytes").mapInArrow(_string_hashes, "value long, hash long, text_id long, start long"), "hot-strings")
-    repeats = strings.groupBy("value", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    single = strings.join(repeats, ["value", "hash"], "left_semi")
-    return whole.union(single.select("text_id", F.col("start").alias("begin"), (F.col("start") + LENGTH).alias("end")))
+    rows: list[tuple] = []
+    chunk: list[_Stretch] = []
+    block: list[_Stretch] = []
+    size = 0
+
+    def close_chunk() -> None:
+        nonlocal chunk, size
+        if len(chunk) == 1 and len(chunk[0].places) > 1 and not chunk[0].spread:
+            rows.extend(_whole(chunk[0]))
+        else:
+            block.extend(chunk)
+            size += sum(len(one.body) for one in chunk)
+        chunk = []
+
+    def sort() -> pa.RecordBatch:
+        nonlocal rows, block, size
+        if block:
+            for one, (repeated, chosen) in zip(block, repeated_starts([one.body for one in block]), strict=True):
+                number, first = one.places[0]
+                if len(one.places) > 1:
+                    rows.extend(_whole(one))
+                else:
+                    rows.extend((number, first + a, first + b, None, None, None, None) for a, b in _runs(repeated))
+                if one.spread:
+                    rows.extend(_strings(one, repeated, chosen))
+        columns = list(zip(*rows, strict=True)) or [[] for _ in _SORTED]
+        found = pa.record_batch([pa.array(column, kind.type) for column, kind in zip(columns, to_arrow_schema(_SORTED), strict=True)], schema=to_arrow_schema(_SORTED))
+        rows, block, size = [], [], 0
+        return found
+
+    last = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (row["value"], row["chunk"]) != last:
+                close_chunk()
+                if size >= _BLOCK or len(rows) >= 10_000:
+                    yield sort()
+            if not chunk or content != row["content"]:
+                chunk.append(_Stretch(row["bytes"], row["value"], row["chunk"], row["chunks"] > 1))
+            chunk[-1].places.append((row["text_id"], row["first"]))
+            last, content = (row["value"], row["chunk"]), row["content"]
+    close_chunk()
+    if rows or block:
+        yield sort()
+
+
+def _whole(one: _Stretch) -> Iterator[tuple]:
+    return ((number, first, first + len(one.body), None, None, None, None) for number, first in one.places)
+
+
+def _strings(one: _Stretch, repeated: np.ndarray, chosen: np.ndarray) -> Iterator[tuple]:
+    """The chosen strings of a stretch by core: the bytes that all strings share whose distance to their value's next
+    piece falls into the same _CORE_STEP distances. Equal strings have equal cores."""
+    raw = np.frombuffer(one.body, dtype=np.uint8).astype(np.uint64)
+    pieces = np.flatnonzero(gram_hashes(raw, GRAM).view(np.int64) == one.value)
+    ahead = pieces[np.searchsorted(pieces, chosen)]
+    step = (ahead - chosen) // _CORE_STEP
+    cores = gram_hashes(raw, LENGTH - _CORE_STEP + 1)[ahead - step * _CORE_STEP] + step.astype(np.uint64) * _ODD
+    hashes = gram_hashes(raw, LENGTH)[chosen].view(np.int64)
+    is_open = ~np.isin(chosen, repeated) if len(one.places) == 1 else np.zeros(len(chosen), dtype=bool)
+    number, first = one.places[0]
+    order = np.argsort(cores, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(cores[order])) + 1):
+        if len(part):
+            strings = [
+                {"start": int(first + chosen[i]), "hash": int(hashes[i]), "open": bool(is_open[i])} for i in part
+            ]
+            yield number, None, None, one.value, int(cores[part[0]].view(np.int64)), one.chunk, strings
+
+
+def _across_chunks(found: DataFrame) -> DataFrame:
+    """Spans of strings that occur in several chunks of a value but repeat in none of them, from the rows of strings.
+
+    Cores that only one chunk has are left out first, so few strings are counted one by one; counts are combined map-side.
+    """
+    several = [F.min("chunk").alias("low"), F.max("chunk").alias("high")]
+    shared = found.groupBy("value", "core").agg(*several).where("low < high").select("value", "core")
+    strings = materialise(
+        found.join(shared, ["value", "core"], "left_semi").select("value", "chunk", "text_id", F.inline("strings")), "strings"
+    )
+    common = strings.groupBy("value", "hash").agg(*several).where("low < high").select("value", "hash")
+    begin = F.col("start").alias("begin")
+    return strings.where("open").join(common, ["value", "hash"], "left_semi").select("text_id", begin, (F.col("start") + LENGTH).alias("end"))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -298,8 +353,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = materialise(_stretch_rows(rows), "stretches")
     place = F.xxhash64("text_id", "first")
     shared = found.groupBy("value").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("low < high or twice")
-    candidates = found.drop("twice").join(shared.select("value", (F.col("n") > HOT).alias("hot")), "value").dropDuplicates(["text_id", "first"])
-    per_text = candidates.groupBy("text_id").agg(F.collect_list(F.struct("value", "hot", "first", "last")).alias("runs"))
+    chunks = shared.select("value", F.ceil(F.col("n") / HOT).cast("long").alias("chunks"))
+    candidates = found.drop("twice").join(chunks, "value").dropDuplicates(["text_id", "first"])
+    per_text = candidates.groupBy("text_id").agg(F.collect_list(F.struct("value", "chunks", "first", "last")).alias("runs"))
     wanted = per_text.join(first.select("text_id", "of"), "text_id").withColumnRenamed("text_id", "id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,21 +364,19 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 number, body, runs = (batch.column(i)[row].as_py() for i in range(3))
                 if runs:
                     parts = [body[run["first"] : run["last"] + LENGTH] for run in runs]
-                    columns = [[run[name] for run in runs] for name in ("value", "hot", "first", "last")]
+                    columns = [[run[name] for run in runs] for name in ("value", "chunks", "first", "last")]
                     content = np.array([xxhash.xxh3_64_intdigest(part) for part in parts], dtype=np.uint64).view(np.int64)
                     yield pa.record_batch(
                         [pa.array([number] * len(runs), pa.int64()), *map(pa.array, columns), pa.array(content), pa.array(parts, pa.binary())],
-                        names=["text_id", "value", "hot", "first", "last", "content", "bytes"],
+                        names=["text_id", "value", "chunks", "first", "last", "content", "bytes"],
                     )
 
     bodies = rows.join(wanted, (rows["text_id"] == wanted["id"]) & rows["key"].eqNullSafe(wanted["of"])).select("text_id", "text", "runs")
-    shape = "text_id long, value long, hot boolean, first long, last long, content long, bytes binary"
-    cuts = materialise(bodies.mapInArrow(cut, shape), "stretch-bytes")
-    plain = cuts.where("not hot").select("value", "content", "text_id", "first", "bytes")
-    sorted_spans = (
-        plain.repartition("value").sortWithinPartitions("value", "content").mapInArrow(_sort_blocks, "text_id long, begin long, end long")
-    )
-    spans = sorted_spans.union(_hot_spans(cuts.where("hot").drop("hot")))
+    shape = "text_id long, value long, chunks long, first long, last long, content long, bytes binary"
+    cuts = bodies.mapInArrow(cut, shape).withColumn("chunk", F.pmod("content", "chunks"))
+    order = ["value", "chunk", "content"]
+    found = materialise(cuts.repartition("value", "chunk").sortWithinPartitions(*order).mapInArrow(_sort_blocks, _SORTED), "sorted")
+    spans = found.where("core is null").select("text_id", "begin", "end").union(_across_chunks(found.where("core is not null")))
     copies = first.where((F.col("n") > 1) & (F.col("bytes_long") >= LENGTH)).select("text_id", F.lit(0).cast("long").alias("begin"), F.col("bytes_long").cast("long").alias("end"))
     merged = materialise(
         spans.union(copies).groupBy("text_id").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans")), "spans"
