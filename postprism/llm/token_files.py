@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 from pathlib import Path
@@ -25,34 +26,67 @@ from postprism.session import materialise
 END_ID = 1  # appended to every document
 FILE_BYTES = 16 << 20  # text of a file, about
 _FILE_TOKENS = 8 << 20  # a file is closed at the document that brings it to so many tokens
-_CACHED = 200_000  # words a worker remembers
+_CACHED = 500_000  # words a worker remembers
 _TOGETHER = 512  # words given to the library at once
 
 
+# Letters or digits and then signs: always cut between the two. A quote may begin a piece such as "'s", and "<" a special token.
+_LETTERS = re.compile("[a-z]+")
+_CORE = re.compile("([a-z0-9]+)([^a-z0-9'<]+)")
+
+
 class WordEncoder:
     """Encodes texts with the library, each distinct word once: the vocabulary joins nothing across white space."""
 
     def __init__(self, content: str) -> None:
         self.tokenizer = Tokenizer.from_str(content)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, int] = {}  # the word's number
+        self.ids = np.zeros(0, dtype=np.uint32)  # of all known words, in the order of their numbers
+        self.ends = np.zeros(1, dtype=np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [split_words(text) for text in texts]
-        new = trimmed(self.known, chain.from_iterable(cut), _CACHED)
-        # the normaliser lower-cases anyway; a word with "<" may be a special token, which it does not
-        plain = {word: word.lower() if word.isascii() and "<" not in word else word for word in new}
-        distinct = list(set(plain.values()))
-        ids: dict[str, tuple[int, ...]] = {}
-        groups = [distinct[i : i + _TOGETHER] for i in range(0, len(distinct), _TOGETHER)]
+        self._learn(chain.from_iterable(cut))
+        counts = [len(words) for words in cut]
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=sum(counts))
+        starts, lengths = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
+        before = np.concatenate(([0], np.cumsum(lengths)))
+        places = np.arange(before[-1]) + np.repeat(starts - before[:-1], lengths)
+        return np.split(self.ids[places], before[np.cumsum(counts)][:-1])
+
+    def _learn(self, words: Iterable[str]) -> None:
+        held = len(self.known)
+        new = trimmed(self.known, words, _CACHED)
+        if len(self.known) < held:
+            self.ids, self.ends = self.ids[:0], self.ends[:1]
+        halves = [self._halves(word) for word in new]
+        distinct = trimmed(self.parts, chain.from_iterable(halves), _CACHED)
+        # letters a to z are one piece, and their bytes stand for themselves: the library's model takes them as they are
+        tokenize = self.tokenizer.model.tokenize
+        simple = [word for word in distinct if _LETTERS.fullmatch(word)]
+        for word in simple:
+            self.parts[word] = tuple([token.id for token in tokenize(word)])
+        others = [word for word in distinct if word not in self.parts]
+        groups = [others[i : i + _TOGETHER] for i in range(0, len(others), _TOGETHER)]
         for group, found in zip(groups, self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
             bounds = np.searchsorted(found.word_ids, np.arange(len(group) + 1))
             own = found.ids
             for word, a, b in zip(group, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                ids[word] = tuple(own[a:b])
-        for word, key in plain.items():
-            self.known[word] = ids[key]
-        known = self.known
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype=np.uint32) for words in cut]
+                self.parts[word] = tuple(own[a:b])
+        ids = [list(chain.from_iterable(map(self.parts.__getitem__, own))) for own in halves]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(own) for own in ids], dtype=np.int64)))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), dtype=np.uint32)))
+
+    @staticmethod
+    def _halves(word: str) -> tuple[str, ...]:
+        """What is encoded apart. The normaliser lower-cases anyway, but for special tokens."""
+        if not word.isascii() or "<" in word:
+            return (word,)
+        lowered = word.lower()
+        match = _CORE.fullmatch(lowered)
+        return match.groups() if match else (lowered,)
 
 
 @lru_cache(maxsize=2)
