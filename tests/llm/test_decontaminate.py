@@ -50,13 +50,17 @@ def edited(text, share, seed):
     return " ".join(out)
 
 
+def capitals(text):
+    return "".join(char if char == "ß" else char.upper() for char in text)  # whose capitals would be two letters
+
+
 def items_and_docs(spark):
     items = [(i, prose(1_000 + i, 15 + 3 * i)) for i in range(40)] + [(90, "only five words in here"), (91, "Paper"), (92, prose(5, 300))]
     docs, planted = [], {}
     for i in range(240):
         item, share = i % 40, [0, 0.05, 0.1, None][i // 40 % 4]
         middle = "" if share is None else edited(items[item][1], share, i)
-        docs.append((i, f"{prose(2_000 + i, i % 50)} {middle.upper() if i % 5 == 0 else middle}. {prose(3_000 + i, 40)}"))
+        docs.append((i, f"{prose(2_000 + i, i % 50)} {capitals(middle) if i % 5 == 0 else middle}. {prose(3_000 + i, 40)}"))
         if share is not None:
             planted[i, item] = share
     docs += [(500, "x Only, five WORDS - in here."), (501, "only five words here"), (502, prose(9, 50) + " " + prose(5, 300))]
