@@ -307,7 +307,8 @@ def _verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if 0 <= at <= len(region) - len(item) and np.array_equal(region[at : at + len(item)], item):
                     best = (0, at, at + len(item))
                     break
-            if best is None and most and len(region):
+            # an edit spoils one of the item's words at most, so all others must be there
+            if best is None and most and np.isin(item, region).sum() >= len(item) - most:
                 best = edits_within(region, item)
             if best is not None and best[0] <= most:
                 rows.append((row.id, row.text_hash, row.item, best[0], row.base + best[1], row.base + best[2]))
