@@ -63,7 +63,10 @@ class Model:
     weights: np.ndarray
 
     def project(self, rows: np.ndarray) -> np.ndarray:
-        latent = (rows - self.centre) @ self.axes
+        return self.unit((rows - self.centre) @ self.axes)
+
+    @staticmethod
+    def unit(latent: np.ndarray) -> np.ndarray:
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
@@ -117,22 +120,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not len(marks):
         empty = np.zeros((0, DIMENSIONS))
         return Model(np.zeros(_FEATURES), np.zeros((_FEATURES, DIMENSIONS)), empty, marks, marks)
-    wide = np.stack([np.frombuffer(value, dtype=np.float32) for value in rows["features"]]).astype(np.float64)
-    centre = wide.mean(axis=0)
-    axes = _leading_axes(wide - centre)
+    wide = np.stack([np.frombuffer(value, dtype=np.float32) for value in rows.pop("features")])  # 50 MB at most
+    centre = wide.mean(axis=0, dtype=np.float64)
+    wide -= centre.astype(np.float32)
+    axes = _leading_axes(wide)
     sizes = np.array([(marks == 0).sum(), (marks == 1).sum()])
     weights = 1 / sizes[marks.astype(int)]
     model = Model(centre, axes, np.zeros((0, DIMENSIONS)), marks, weights)
-    model.vectors = model.project(wide)
+    model.vectors = model.unit(wide @ axes)
     return model
 
 
 def _leading_axes(rows: np.ndarray) -> np.ndarray:
     """The space of the largest singular values, by subspace iteration from a fixed start."""
-    axes = np.random.default_rng(7).standard_normal((rows.shape[1], DIMENSIONS))
+    axes = np.random.default_rng(7).standard_normal((rows.shape[1], DIMENSIONS)).astype(rows.dtype)
     for _ in range(8):
         axes = np.linalg.qr(rows.T @ (rows @ axes))[0]
-    return axes
+    return axes.astype(np.float64)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
