@@ -1,9 +1,7 @@
-"""Benchmark items inside documents: CGK walks over windows, bit-sampling keys, exact edit distance.
+"""Benchmark items inside documents: runs that some edits must leave whole, exact edit distance.
 
-The CGK embedding walks over a word sequence; after each step a random bit of the step and the word decides whether the
-walk moves on. Walks over sequences a few edits apart fall into step again, so edit distance becomes a number of
-differing steps, and a key of a few sampled steps survives edits with a fair chance. Several walks and several
-windows per item bring that chance to the recall wanted.
+An item of n words that is held with e edits at most, cut into e + 1 runs, has one run that no edit touches. So every run
+of an item is a key, all runs of these sizes in the documents are looked up, and no held item is missed.
 """
 
 from __future__ import annotations
@@ -19,13 +17,9 @@ from pyspark.sql import functions as F
 from postprism.session import materialise
 
 EDIT_SHARE = 0.2  # most edited words per word of an item
-WALKS = 3  # independent walks
-STEPS_KEPT = 4  # sampled steps of a key
-_SPAN = 4  # of this many neighbouring words at least one starts a window
-_SMALLEST, _SHORT = 4, 7  # words of the smallest window; items of fewer words are looked up whole
+_SHORT = 7  # items of fewer words are looked up whole
 _BLOOM_BITS = 25  # the filter of item keys has 2 ** 25 bits: 4 MB, whatever the benchmark
 _PART = 1 << 20  # characters of texts taken at a time
-_CHUNK = 1 << 15  # windows walked at a time
 
 # Bytes of ASCII letters and digits and of all longer characters make words; the rest parts them.
 _IN_WORD = np.zeros(256, dtype=bool)
@@ -83,47 +77,16 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return padded, begins
 
 
-def window_starts(words: np.ndarray) -> np.ndarray:
-    """Words that are the smallest of some _SPAN neighbours: the same places in an item and where it is copied."""
-    if len(words) < _SPAN:
-        return np.zeros(0, dtype=np.int64)
-    order = np.where(words == 0, np.uint64(2**64 - 1), _mix(words))
-    least = order[: len(order) - _SPAN + 1]
-    for step in range(1, _SPAN):
-        least = np.minimum(least, order[step : len(order) - _SPAN + 1 + step])
-    chosen = np.zeros(len(words), dtype=bool)
-    for step in range(_SPAN):
-        chosen[step : step + len(least)] |= order[step : step + len(least)] == least
-    return np.flatnonzero(chosen & (words != 0))
+def item_runs(words: int) -> list[tuple[int, int]]:
+    """(begin, end) of the runs that an item is cut into: one more than the edits it may have, of nearly one size."""
+    runs = int(words * EDIT_SHARE) + 1 if words >= _SHORT else 1
+    bounds = [words * i // runs for i in range(runs + 1)]
+    return list(zip(bounds[:-1], bounds[1:], strict=True))
 
 
-def window_size(words: int) -> int:
-    """The largest power of two of words that fits an item from each of its first _SPAN words."""
-    return 1 << ((words - _SPAN + 1).bit_length() - 1)
-
-
-def window_keys(words: np.ndarray, starts: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """(size, keys) for each walk and window size: the sampled steps of the walk from each start, as one number.
-
-    Only steps before the window's size are sampled, and a walk makes at most one word a step, so it stays in the window.
-    """
-    padded = np.concatenate((words, np.zeros(max(sizes, default=1) + 1, dtype=np.uint64)))
-    for walk in range(WALKS):
-        sampled = {
-            size: set(np.random.default_rng((walk, size)).choice(size, min(STEPS_KEPT, size), replace=False).tolist())
-            for size in sizes
-        }
-        keys = {size: np.full(len(starts), size * 8 + walk, dtype=np.uint64) for size in sizes}
-        at, bits = starts.copy(), None
-        for step in range(max(sizes, default=0)):
-            if step % 64 == 0:
-                bits = _mix(padded + np.uint64((walk * 4_096 + step // 64 + 1) * int(_ODD) % 2**64))
-            for size, steps in sampled.items():
-                if step in steps:
-                    keys[size] = keys[size] * _ODD + padded[at]
-            at += (bits[at] >> np.uint64(step % 64)).astype(np.int64) & 1
-        for size in sizes:
-            yield size, _mix(keys[size])
+def reach_of(words: int) -> int:
+    """The power of two of words that an item fits in, so that a few reaches do for all items; short items have their own."""
+    return words if words < _SHORT else 1 << (words - 1).bit_length()
 
 
 def short_keys(words: np.ndarray, size: int) -> np.ndarray:
@@ -138,37 +101,36 @@ def short_keys(words: np.ndarray, size: int) -> np.ndarray:
     return np.where(whole, _mix(key), np.uint64(0))
 
 
+def run_keys(words: np.ndarray, size: int, reach: int) -> np.ndarray:
+    """The keys of runs of ``size`` words for items of one reach; 0 stays 0."""
+    keys = short_keys(words, size)
+    return np.where(keys != 0, _mix(keys + np.uint64(reach) * _ODD), np.uint64(0))
+
+
 def _probes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64((1 << _BLOOM_BITS) - 1)
     return (keys & mask).astype(np.int64), (keys >> np.uint64(64 - _BLOOM_BITS)).astype(np.int64)
 
 
 def item_keys(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """``(item, size, hashed, key, start)``: the keys of every item, their window's size and the word where it begins.
+    """``(item, size, reach, hashed, key, start)``: the keys of every item, their runs' size and the word where they begin.
 
-    Items too short for windows have one key of all their words and the size 0. Items without words give no row; items repeated under one id take part each.
+    Items without words give no row; items repeated under one id take part each.
     """
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for item, text in zip(part["item"], part["text"], strict=True):
-                hashed = word_hashes([text or ""])[0]
-                count = len(hashed) - 1
-                if 0 < count < _SHORT:
-                    size, found = 0, [(short_keys(hashed[:-1], count)[0], 0)]
-                elif count:
-                    size, starts = window_size(count), window_starts(hashed)
-                    starts = starts[starts + size <= count]
-                    found = [pair for _, keys in window_keys(hashed, starts, [size]) for pair in zip(keys, starts, strict=True)]
-                else:
-                    continue
-                own = hashed[:-1].view(np.int64).tolist()
-                rows += [(item, size, own, int(value.view(np.int64)), int(start)) for value, start in found]
-            yield pd.DataFrame(rows, columns=["item", "size", "hashed", "key", "start"])
+                hashed = word_hashes([text or ""])[0][:-1]
+                own, reach = hashed.view(np.int64).tolist(), reach_of(len(hashed))
+                for begin, end in item_runs(len(hashed)) if own else []:
+                    value = run_keys(hashed[begin:end], end - begin, reach)[0]
+                    rows.append((item, end - begin, reach, own, int(value.view(np.int64)), begin))
+            yield pd.DataFrame(rows, columns=["item", "size", "reach", "hashed", "key", "start"])
 
     rows = items.select(F.col(key).cast("long").alias("item"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(of, "item long, size int, hashed array<long>, key long, start int")
+    return rows.mapInPandas(of, "item long, size int, reach int, hashed array<long>, key long, start int")
 
 
 def _bloom(keys: DataFrame) -> np.ndarray:
@@ -186,8 +148,8 @@ def _bloom(keys: DataFrame) -> np.ndarray:
     return filled.view(np.uint64)
 
 
-def _regions(docs: DataFrame, key: str, text: str, bloom: np.ndarray, sizes: list[int], short: list[int]) -> DataFrame:
-    """``(key, text_hash, region, base, hashed, hits)``: stretches of documents around windows whose key may be an item's."""
+def _regions(docs: DataFrame, key: str, text: str, bloom: np.ndarray, kinds: list[tuple[int, int]]) -> DataFrame:
+    """``(key, text_hash, region, base, hashed, hits)``: stretches of documents around runs whose key may be an item's."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def maybe(keys: np.ndarray) -> np.ndarray:
@@ -198,31 +160,20 @@ def _regions(docs: DataFrame, key: str, text: str, bloom: np.ndarray, sizes: lis
         second = second[place]
         return place[(filled[second >> 6] >> (second & 63).astype(np.uint64)) & np.uint64(1) != 0]
 
-    def hits(words: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(reach, keys, places) of the windows found."""
-        starts = window_starts(words)
-        last = begins[1:][np.searchsorted(begins, starts, side="right") - 1] - 1  # the text's closing 0
-        for i in range(0, len(starts) if sizes else 0, _CHUNK):
-            own, end = starts[i : i + _CHUNK], last[i : i + _CHUNK]
-            lower = int(own[0])
-            part = words[lower : int(own[-1]) + max(sizes) + 1]
-            for size, keys in window_keys(part, own - lower, sizes):
-                place = maybe(keys)
-                place = place[own[place] + size <= end[place]]
-                if len(place):
-                    yield 3 * size, keys[place], own[place]
-        for size in short:
-            keys = short_keys(words, size)
+    def hits(words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(reach, keys, places) of the runs found."""
+        for size, reach in kinds:
+            keys = run_keys(words, size, reach)
             place = maybe(keys)
             place = place[keys[place] != 0]
             if len(place):
-                yield size, keys[place], place
+                yield reach + int(reach * EDIT_SHARE), keys[place], place
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in _parts(batch.column(2)):
                 words, begins = word_hashes(texts)
-                found = list(hits(words, begins))
+                found = list(hits(words))
                 if not found:
                     continue
                 places = np.concatenate([place for _, _, place in found])
@@ -231,7 +182,7 @@ def _regions(docs: DataFrame, key: str, text: str, bloom: np.ndarray, sizes: lis
                 order = np.argsort(places, kind="stable")
                 places, keys, reach = places[order], keys[order], reach[order]
                 owner = np.searchsorted(begins, places, side="right") - 1
-                # an item of n words found at word s of its window lies within n edits' reach before and after
+                # an item found by one of its runs lies within its words and edits before and after
                 low = np.maximum(places - reach, begins[owner])
                 high = np.minimum(places + reach, begins[owner + 1] - 1)
                 cut = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (places[1:] - places[:-1] > reach[:-1]))))
@@ -307,8 +258,9 @@ def _verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if 0 <= at <= len(region) - len(item) and np.array_equal(region[at : at + len(item)], item):
                     best = (0, at, at + len(item))
                     break
-            # an edit spoils one of the item's words at most, so all others must be there
-            if best is None and most and np.isin(item, region).sum() >= len(item) - most:
+            # an edit spoils one of the item's words at most, so all others must be there, near a run that was found
+            near = (region[max(at - most, 0) : max(at + len(item) + most, 0)] for at in sorted(set(row.places)))
+            if best is None and most and any(np.isin(item, part).sum() >= len(item) - most for part in near):
                 best = edits_within(region, item)
             if best is not None and best[0] <= most:
                 rows.append((row.id, row.text_hash, row.item, best[0], row.base + best[1], row.base + best[2]))
@@ -320,14 +272,13 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
     A document holds an item if some stretch of its words can be turned into the item's words by at most EDIT_SHARE
     word edits per item word; items of fewer than _SHORT words must appear word for word. Words are runs of lower-cased
-    letters and digits. Windows of whole texts are walked; a fixed-size filter of the items' keys keeps those whose key
-    may be an item's; keys are joined, and the distance is computed exactly where they agree. NULL or empty texts hold
+    letters and digits. All runs of whole texts are looked up in a fixed-size filter of the items' keys; keys that may be an
+    item's are joined, and the distance is computed exactly where they agree. NULL or empty texts hold
     nothing, an empty benchmark is held by nothing; a repeated row has the rows of one; a NULL id or item stays NULL.
     """
     known = materialise(item_keys(items, item, item_text), "item-keys")
-    kinds = known.select("size", F.when(F.col("size") == 0, F.size("hashed")).alias("words")).distinct().collect()  # a few sizes
-    sizes, short = sorted({row["size"] for row in kinds} - {0}), sorted({row["words"] for row in kinds} - {None})
-    regions = materialise(_regions(docs, key, text, _bloom(known), sizes, short), "regions")
+    kinds = sorted(tuple(row) for row in known.select("size", "reach").distinct().collect())  # a few
+    regions = materialise(_regions(docs, key, text, _bloom(known), kinds), "regions")
     hits = regions.select("region", F.explode("hits").alias("hit")).select("region", "hit.key", "hit.at")
     pairs = (
         hits.join(known.select("key", "item", "start", F.xxhash64("hashed").alias("version")), "key")

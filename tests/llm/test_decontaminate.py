@@ -101,3 +101,19 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert kept.count() == odd_docs.count() - 5  # documents 1, 2 twice, 8 and the one without an id
     assert decontaminate.leaks(no_docs, items).count() == 0 and decontaminate.clean(odd_docs, items.limit(0)).count() == odd_docs.count()
+
+
+@pytest.mark.parametrize("size", [7, 10, 15, 20, 35, 36, 67, 131])
+def test_no_item_is_missed_at_the_limit(spark, size):
+    pick, most = random.Random(size), int(size * decontaminate.EDIT_SHARE)
+    word = lambda: "".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    items = [(i, " ".join(word() for _ in range(size))) for i in range(25)]
+    docs = []
+    for i, text in items:
+        own = text.split(" ")
+        for at in sorted(pick.sample(range(size), most), reverse=True):
+            own[at : at + 1] = pick.choice([[word()], [], [own[at], word()]])
+        docs.append((i, " ".join([*(word() for _ in range(pick.randrange(40))), *own, *(word() for _ in range(30))])))
+    out = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(row.doc_id, row.item_id): row.edits for row in out.collect()}
+    assert found == {(i, i): brute_edits(words(docs[i][1]).tolist(), words(items[i][1]).tolist()) for i in range(25)}
