@@ -28,7 +28,3 @@ def spark():
 @pytest.fixture(scope="session")
 def folder():
     return "/root/testdata/sf0.001"
-
-
-def as_tuples(df, *columns):
-    return [tuple(row) for row in (df.select(*columns) if columns else df).collect()]

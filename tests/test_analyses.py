@@ -4,7 +4,7 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
-from conftest import as_tuples
+from rowtools import as_tuples
 from pyspark.sql import functions as F
 
 from postprism.operators.population import population_funnel, step_size

@@ -2,7 +2,7 @@ import json
 from datetime import datetime
 
 import pytest
-from conftest import as_tuples
+from rowtools import as_tuples
 from pyspark.sql import functions as F
 
 from postprism.functions.dates import posting_time

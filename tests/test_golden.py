@@ -3,7 +3,7 @@
 from pathlib import Path
 
 import pytest
-from conftest import as_tuples
+from rowtools import as_tuples
 
 from postprism.plans.demand import compare_tables, demand_leaders
 from postprism.plans.pay import quadrants

@@ -1,4 +1,4 @@
-from conftest import as_tuples
+from rowtools import as_tuples
 from pyspark.sql import functions as F
 
 from postprism.operators import table_changes

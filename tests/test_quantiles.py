@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import as_tuples
+from rowtools import as_tuples
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 

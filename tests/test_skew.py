@@ -1,7 +1,7 @@
 """One company, skill or group on a third of all rows: results stay whole and no task gets the group."""
 
 import pytest
-from conftest import as_tuples
+from rowtools import as_tuples
 from pyspark.sql import functions as F
 
 from postprism.operators.lookup import lookup_join

@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from conftest import as_tuples
+from rowtools import as_tuples
 
 from postprism.operators.terms import AMBIGUOUS, extract_terms, usable_vocabulary
 

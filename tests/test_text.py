@@ -2,7 +2,7 @@ import html
 import re
 
 import pytest
-from conftest import as_tuples
+from rowtools import as_tuples
 from pyspark.sql import functions as F
 
 from postprism.functions.text import (
