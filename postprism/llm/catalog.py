@@ -17,6 +17,7 @@ from postprism.llm import (
     quality,
     sharding,
     simhash_dedup,
+    spelling,
     suffix_dedup,
     token_files,
 )
@@ -113,6 +114,10 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_chat_format,
@@ -125,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_bpe_trie,
         op10_simhash_dedup,
+        op13_spelling_variants,
     ]
     return {query.__name__: query for query in found}
 
