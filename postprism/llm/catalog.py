@@ -20,6 +20,7 @@ from postprism.llm import (
     spelling,
     suffix_dedup,
     token_files,
+    vector_codes,
 )
 from postprism.session import work_folder
 
@@ -114,6 +115,13 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vector_codes.compress(_table(spark, folder, "embeddings"))
+    return coded.select(
+        "vec_id", F.lower(F.hex("entries")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256")
+    )
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(_table(spark, folder, "documents"))
 
@@ -130,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_bpe_trie,
         op10_simhash_dedup,
+        op11_vector_codes,
         op13_spelling_variants,
     ]
     return {query.__name__: query for query in found}
@@ -162,5 +171,40 @@ FROM s GROUP BY conv_id
 """
 
 
+# Parts of all vectors meet all entries here; the rounds are written out one after another.
+_OP11_ASSIGN = """
+    SELECT vec_id, q.p, min(struct_pack(d := list_sum(list_transform(list_zip(q.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := c.e)) AS best
+    FROM parts q JOIN {book} c USING (p) GROUP BY vec_id, q.p
+"""
+_OP11_UPDATE = """
+    SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM {book} c LEFT JOIN (
+        SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS x FROM (
+            SELECT p, best.e AS e, j, sum(x[j]) AS s, count(*) AS n
+            FROM {near} JOIN parts USING (vec_id, p), generate_series(1, (SELECT max(len(x)) FROM parts)) AS g(j) GROUP BY ALL
+        ) GROUP BY p, e
+    ) m USING (p, e)
+"""
+_OP11 = f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+    SELECT vec_id, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS x FROM kept, range(16) AS r(p)
+), book0 AS MATERIALIZED (
+    SELECT p, e, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 64
+), near1 AS MATERIALIZED ({_OP11_ASSIGN.format(book="book0")}
+), book1 AS MATERIALIZED ({_OP11_UPDATE.format(book="book0", near="near1")}
+), near2 AS MATERIALIZED ({_OP11_ASSIGN.format(book="book1")}
+), book2 AS MATERIALIZED ({_OP11_UPDATE.format(book="book1", near="near2")}
+), near3 AS MATERIALIZED ({_OP11_ASSIGN.format(book="book2")}
+), coded AS (
+    SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near3 GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": _OP1}
+    return {"op1_chat_format": _OP1, "op11_vector_codes": _OP11}
