@@ -13,6 +13,7 @@ from postprism.llm import (
     chat,
     decontaminate,
     embedding_dedup,
+    langid,
     line_dedup,
     quality,
     sharding,
@@ -25,6 +26,7 @@ from postprism.llm import (
 from postprism.session import work_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -122,6 +124,12 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang", quality.held_out().alias("held_out"))
+    model = langid.fit(docs.where(~F.col("held_out")), PIECES)
+    return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(_table(spark, folder, "documents"))
 
@@ -139,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_bpe_trie,
         op10_simhash_dedup,
         op11_vector_codes,
+        op12_language_id,
         op13_spelling_variants,
     ]
     return {query.__name__: query for query in found}
