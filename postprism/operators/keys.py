@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from postprism.session import materialise
@@ -12,7 +12,9 @@ from postprism.session import materialise
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row's position in the low 33 bits
 
 
-def surrogate_key(df: DataFrame, key: str, order_by: Sequence[str], unique: bool = False) -> DataFrame:
+def surrogate_key(
+    df: DataFrame, key: str, order_by: Sequence[str], unique: bool = False, observed: tuple[Observation, Sequence[Column]] | None = None
+) -> DataFrame:
     """Number rows 1..n by ``order_by`` (NULLs last), then by every other column.
 
     ``unique`` says that no two rows share ``order_by``: other columns, such as long texts, are then neither sampled nor compared.
@@ -21,17 +23,18 @@ def surrogate_key(df: DataFrame, key: str, order_by: Sequence[str], unique: bool
     sorts its range, a row knows its place in the range, and the ranges' row counts give the offset.
     Using all columns as tie-breakers makes the key repeatable and lets a run of equal leading
     columns be cut into several ranges; rows should be distinct (drop full duplicates first).
-    Range bounds come from a sample, so the placed rows are written once before they are read twice.
+    Range bounds come from a sample, so the placed rows are written once before they are read twice. ``observed`` takes measures of
+    all rows during that write.
     """
     ties = [] if unique else [name for name in df.columns if name not in order_by]
     order = [F.col(name).asc_nulls_last() for name in (*order_by, *ties)]
-    placed = materialise(
+    ranges = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_range", F.spark_partition_id())
-        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << _POSITION_BITS) - 1)),
-        f"placed-{key}",
+        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << _POSITION_BITS) - 1))
     )
+    placed = materialise(ranges.observe(observed[0], *observed[1]) if observed else ranges, f"placed-{key}")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range: its size is bounded by the number of shuffle partitions, not by the data.
     offsets = (

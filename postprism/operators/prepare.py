@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postprism.operators.keys import surrogate_key
@@ -31,9 +32,13 @@ def full_row_dedup(rows: DataFrame) -> DataFrame:
     return rows.distinct()
 
 
-def key_postings(rows: DataFrame) -> DataFrame:
-    """Distinct rows with a dense, repeatable ``job_id``. Rows without a company keep theirs: ids may have gaps later."""
-    return surrogate_key(rows, "job_id", POSTING_ORDER)
+def key_postings(rows: DataFrame, observed: Observation | None = None) -> DataFrame:
+    """Distinct rows with a dense, repeatable ``job_id``. Rows without a company keep theirs: ids may have gaps later.
+
+    ``observed`` takes the number of rows (``kept``) and of those without a company (``nameless``) while the rows are placed.
+    """
+    measures = [F.count(F.lit(1)).alias("kept"), F.count_if(F.col("company_name").isNull()).alias("nameless")]
+    return surrogate_key(rows, "job_id", POSTING_ORDER, observed=(observed, measures) if observed else None)
 
 
 def company_dimension(postings: DataFrame) -> DataFrame:
@@ -81,22 +86,26 @@ def build_bridge(postings: DataFrame, skill: DataFrame, fact: DataFrame | None =
     return lookup_join(explode_skills(lists, unique=True), skill, "skills").select("job_id", "skill_id")
 
 
-def build_star(rows: DataFrame) -> tuple[Star, DataFrame]:
+def build_star(rows: DataFrame, observed: Observation | None = None) -> tuple[Star, DataFrame]:
     """Star of denormalised rows, and the keyed postings it came from.
 
-    Loaded postings are those with a company name, which spares the bridge a join with the fact.
+    Loaded postings are those with a company name, which spares the bridge a join with the fact. ``observed``: see :func:`key_postings`.
     """
-    postings = key_postings(full_row_dedup(rows))
+    postings = key_postings(full_row_dedup(rows), observed)
     company = company_dimension(postings)
     skill = skill_dimension(explode_skills(postings))
     bridge = build_bridge(postings.where(F.col("company_name").isNotNull()), skill)
     return Star(build_fact(postings, company), company, skill, bridge), postings
 
 
-def load_audit(rows: DataFrame, postings: DataFrame, star: Star) -> DataFrame:
-    """Row counts of a load: metric, rows."""
+def _source_measures(rows: DataFrame) -> list[Column]:
     rejected = F.col("_rejected").isNotNull() if "_rejected" in rows.columns else F.lit(False)
-    source = rows.agg(F.count(F.lit(1)).alias("_source"), F.count_if(rejected).alias("_rejected"))
+    return [F.count(F.lit(1)).alias("_source"), F.count_if(rejected).alias("_rejected")]
+
+
+def load_audit(rows: DataFrame, postings: DataFrame, star: Star) -> DataFrame:
+    """Row counts of a load from its tables, as they are now: metric, rows. Each table is scanned; :func:`load_star` counts while writing."""
+    source = rows.agg(*_source_measures(rows))
     kept = postings.agg(F.count(F.lit(1)).alias("_kept"), F.count_if(F.col("company_name").isNull()).alias("_nameless"))
     # Metric names.
     first = with_scalar(source, kept).select(
@@ -119,6 +128,30 @@ def load_audit(rows: DataFrame, postings: DataFrame, star: Star) -> DataFrame:
     return reduce(DataFrame.unionByName, counts, first)
 
 
+def load_star(rows: DataFrame, write: Callable[[Star], None]) -> DataFrame:
+    """Build a star, hand it to ``write``, and return the row counts of the load: metric, rows.
+
+    All counts are observed on rows that pass by anyway: the source before its duplicates go, the postings while they are keyed,
+    each table while it is written. So the source is read once and no stored table is read back. The source's counts come from
+    a stage before a shuffle: if a lost executor's part of it is run again, its rows count again. :func:`load_audit` does not have that.
+    """
+    source, kept = Observation(), Observation()
+    star, _ = build_star(rows.observe(source, *_source_measures(rows)), kept)
+    tables = {name: Observation() for name in star.tables()}
+    counted = [table.observe(tables[name], F.count(F.lit(1)).alias("rows")) for name, table in star.tables().items()]
+    company, skill, fact, bridge = counted
+    write(Star(fact, company, skill, bridge))
+    # Metric names.
+    found = {
+        "source rows": source.get["_source"],
+        "with rejected values": source.get["_rejected"],
+        "duplicates removed": source.get["_source"] - kept.get["kept"],
+        "no company, dropped": kept.get["nameless"],
+    }
+    found |= {name: table.get["rows"] for name, table in tables.items()}
+    return rows.sparkSession.createDataFrame(list(found.items()), "metric string, rows bigint")
+
+
 def date_span(fact: DataFrame) -> DataFrame:
     """First and last posting date, one row."""
     return fact.agg(

@@ -76,9 +76,15 @@ def _load_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _audit(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """The star is written once and its stored tables are counted."""
-    star, keyed = prepare.build_star(rows)
+    """The star is written once; its rows are counted as they are written."""
     path = work_folder(spark, "audited-star")
+    return prepare.load_star(rows, lambda star: postings.write_star(star, path))
+
+
+def _counted_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The same counts from the stored tables."""
+    rows, path = testdata.wide_rows(spark, folder), work_folder(spark, "counted-star")
+    star, keyed = prepare.build_star(rows)
     postings.write_star(star, path)
     return prepare.load_audit(rows, keyed, postings.read_star(spark, path))
 
@@ -106,6 +112,15 @@ def _csv_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(postings.read_postings_csv(spark, path).drop(postings.REJECTED))
 
 
+def _csv_in_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """One file whose titles hold line breaks, commas and quotes, read in parts."""
+    path = work_folder(spark, "postings-csv-parts")
+    title = F.concat(F.lit('"'), F.col("job_title"), F.lit('", noted\n'), F.col("job_via"))
+    rows = testdata.wide_rows(spark, folder).withColumn("job_title", title)
+    rows.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    return _plain(postings.read_postings_csv(spark, path, whole_file_bytes=0).drop(postings.REJECTED))
+
+
 def _damaged_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Posting files with the columns in reverse order, one more column, and pay that is no number in insured postings."""
     path = work_folder(spark, "postings-csv-extra")
@@ -287,7 +302,9 @@ def queries() -> dict[str, Query]:
         ),
         "read_postings_csv": _csv_rows,
         "read_postings_csv_extra": lambda spark, folder: _plain(_damaged_csv(spark, folder)),
+        "read_postings_csv_parts": _csv_in_parts,
         "load_audit_csv": _audit_of_damaged_csv,
+        "load_audit_tables": _counted_tables,
         "write_star": _star_files,
         "surrogate_key": lambda spark, folder: _plain(_keyed(spark, folder)),
         "company_dimension": lambda spark, folder: prepare.company_dimension(testdata.wide_rows(spark, folder)),

@@ -392,6 +392,9 @@ def oracle_sql() -> dict[str, str]:
         "full_row_dedup": "SELECT DISTINCT text, lang FROM documents",
         "full_row_dedup_lines": "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem",
         "read_postings_csv": f"WITH {WIDE} SELECT {POSTING_DOUBLES}, company_name, job_skills FROM wide",
+        "read_postings_csv_parts": f"""WITH {WIDE}
+            SELECT {POSTING_DOUBLES}, company_name, job_skills
+            FROM (SELECT * REPLACE ('"' || job_title || '", noted' || chr(10) || job_via AS job_title) FROM wide)""",
         "read_postings_csv_extra": f"""WITH {WIDE}
             SELECT {POSTING_DOUBLES.replace(_YEAR, _DAMAGED_YEAR)}, company_name, job_skills, job_title || ' noted' AS note,
               CASE WHEN {_DAMAGED} THEN '{{"salary_year_avg":"$' || CAST(salary_year_avg AS VARCHAR) || '"}}' END AS _rejected
@@ -424,6 +427,15 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'skills_dim', COUNT(*) FROM skills_dim
             UNION ALL SELECT 'job_postings_fact', COUNT(*) FROM fact
             UNION ALL SELECT 'skills_job_dim', COUNT(*) FROM bridge""",
+        "load_audit_tables": f"""WITH {PREPARED}
+            SELECT 'source rows' AS metric, COUNT(*) AS rows FROM wide
+            UNION ALL SELECT 'with rejected values', 0
+            UNION ALL SELECT 'duplicates removed', (SELECT COUNT(*) FROM wide) - (SELECT COUNT(*) FROM staged)
+            UNION ALL SELECT 'no company, dropped', COUNT(*) FROM staged WHERE company_name IS NULL
+            UNION ALL SELECT 'company_dim', COUNT(*) FROM company_dim
+            UNION ALL SELECT 'skills_dim', COUNT(*) FROM skills_dim
+            UNION ALL SELECT 'job_postings_fact', COUNT(*) FROM fact
+            UNION ALL SELECT 'skills_job_dim', COUNT(*) FROM bridge""",
         "date_span": f"""WITH {PREPARED}
             SELECT CAST(MIN(job_posted_date) AS DATE) AS first_date, CAST(MAX(job_posted_date) AS DATE) AS last_date FROM fact""",
         "clean_text": f"""

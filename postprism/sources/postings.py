@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postprism import schemas
+from postprism.sources.records import read_quoted_csv
 from postprism.star import Star
 
 _TABLE_SCHEMAS = {
@@ -25,16 +26,34 @@ PAY = T.DecimalType(28, 10)
 # Holds the raw text of a row's values that do not fit their type, as JSON; NULL where all fit.
 REJECTED = "_rejected"
 
+# A file with line breaks in quotes and more bytes than this is read in parts; smaller ones take one task each, as one pass is cheaper.
+WHOLE_FILE_BYTES = 64 << 20
 
-def read_postings_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.WIDE, multi_line: bool = True) -> DataFrame:
+
+def _largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file, from the file listing: contents are not read."""
+    return spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+
+
+def read_postings_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = schemas.WIDE,
+    multi_line: bool = True,
+    whole_file_bytes: int = WHOLE_FILE_BYTES,
+) -> DataFrame:
     """Denormalised postings from delimited files with a header; columns are found by their names.
 
     Every column of the files is kept, so that rows differing anywhere stay different: those of ``schema`` come first and typed,
     further ones follow as text. A column of the schema that the files lack is NULL. Files whose headers differ are refused.
     A value that does not fit its type becomes NULL and is kept in ``_rejected``; ``load_audit`` counts such rows. Quoted
-    fields may hold commas, doubled quotes and, with ``multi_line``, line breaks; without it a large file is read in parts.
+    fields may hold commas, doubled quotes and, with ``multi_line``, line breaks. Files of more than ``whole_file_bytes`` are read in
+    parts with or without line breaks; the rows are the same.
     """
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', enforceSchema=False)
+    if multi_line and _largest_file(spark, path) > whole_file_bytes:
+        raw = read_quoted_csv(spark, path)
+    else:
+        raw = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', enforceSchema=False)
     known = {field.name for field in schema}
     columns, failed = [], []
     for field in schema:
@@ -103,12 +122,12 @@ def save_star_tables(star: Star, database: str, buckets: int) -> Star:
 def run_catalog(star: Star, analyses: Mapping[str, Callable[[Star], DataFrame]], path: str) -> dict[str, bool]:
     """Write each analysis of a dataset as CSV with header; returns whether it has rows.
 
-    The result is read back for the check, so an analysis is computed once.
+    Rows are counted while they are written, so an analysis is computed once and its result is not read again.
     """
     filled = {}
     for name, analysis in analyses.items():
-        target = f"{path}/{name}"
-        result = analysis(star)
-        result.write.mode("overwrite").option("header", True).option("escape", '"').csv(target)
-        filled[name] = not result.sparkSession.read.schema(result.schema).csv(target, header=True).isEmpty()
+        written = Observation()
+        result = analysis(star).observe(written, F.count(F.lit(1)).alias("rows"))
+        result.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/{name}")
+        filled[name] = written.get["rows"] > 0
     return filled

@@ -177,3 +177,28 @@ def test_catalog_run_writes_a_header_for_empty_results(built, tmp_path):
     assert run_catalog(star, analyses, str(tmp_path / "out")) == {"titles": True, "nothing": False}
     files = [path.read_text() for path in (tmp_path / "out" / "nothing").glob("part-*.csv")]
     assert files == ["job_title\n"]
+
+
+def test_load_reads_its_source_once_and_no_table_back(spark, rows, tmp_path):
+    """The counts are those of the tables, and each source row passes by once."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    source = rows.mapInArrow(count, rows.schema)
+    audit = prepare.load_star(source, lambda star: write_star(star, str(tmp_path / "star")))
+    assert passed.value == len(ROWS)
+    star, postings = prepare.build_star(rows)
+    assert sorted(as_tuples(audit)) == sorted(as_tuples(prepare.load_audit(rows, postings, star)))
+    stored = read_star(spark, str(tmp_path / "star"))
+    assert {name: table.count() for name, table in stored.tables().items()} == {
+        row.metric: row["rows"] for row in audit.collect() if row.metric in stored.tables()
+    }
+
+
+def test_load_of_nothing(spark, tmp_path):
+    audit = prepare.load_star(spark.createDataFrame([], WIDE), lambda star: write_star(star, str(tmp_path / "star")))
+    assert audit.count() == 8 and audit.where("rows <> 0").count() == 0
