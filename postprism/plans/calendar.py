@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from postprism.functions.dates import part, shifted
 from postprism.functions.measures import cents, mean_money
 from postprism.operators.population import MAIN_ROLE
+from postprism.operators.table_changes import update_by_key
+from postprism.session import materialise
 from postprism.star import Star
 
 FIRST_QUARTER = (1, 2, 3)
@@ -91,8 +93,30 @@ def insured_by_company(star: Star, quarter: int = 2) -> DataFrame:
 
 
 def write_by_month(fact: DataFrame, path: str) -> None:
-    """Store postings in one folder per calendar month, so that a month filter prunes folders."""
-    fact.withColumn("posted_month", F.month("job_posted_date")).write.partitionBy("posted_month").parquet(path)
+    """Store postings in one folder per calendar month, so that a month filter prunes folders.
+
+    A further load replaces the months it holds and leaves the other folders as they are.
+    """
+    months = fact.withColumn("posted_month", F.month("job_posted_date")).write.partitionBy("posted_month")
+    months.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def update_by_month(stored: DataFrame, path: str, updates: DataFrame, key: str, column: str) -> list[int]:
+    """Set ``column`` of the stored postings named in ``updates(key, column)``; returns the months that were rewritten.
+
+    ``stored`` is the table at ``path`` from :func:`write_by_month`. The keys are looked up first, so only the folders of months that
+    hold one are read whole and replaced; all other files stay. The new rows are written aside before any folder is replaced. Postings
+    that are not stored are no change.
+    """
+    months = stored.join(updates.select(key), key, "left_semi").select("posted_month").distinct()
+    touched = sorted((row["posted_month"] for row in months.collect()), key=lambda month: (month is None, month))  # twelve and NULL at most
+    if not touched:
+        return []
+    known = [month for month in touched if month is not None]
+    in_touched = F.col("posted_month").isin(known) | (F.col("posted_month").isNull() if None in touched else F.lit(False))
+    changed = materialise(update_by_key(stored.where(in_touched), updates, key, column), "updated-months")
+    changed.write.partitionBy("posted_month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    return touched
 
 
 def month_partition(fact: DataFrame, month: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from postprism.functions.dates import posting_time
 from postprism.functions.text import classify_title, clean_text, strip_markup
 from postprism.operators import conform, prepare, table_changes
-from postprism.operators.history import append_history
+from postprism.operators.history import append_history, append_indexed
 from postprism.operators.keys import first_seen_dimension
 from postprism.operators.population import population_funnel
 from postprism.operators.terms import BROADCAST_TERMS, extract_terms, usable_vocabulary
@@ -206,6 +206,26 @@ def _collections(spark: SparkSession, folder: str) -> DataFrame:
     return append_history(spark, path, second, 2, ["event_id"])
 
 
+def _indexed_collections(spark: SparkSession, folder: str) -> DataFrame:
+    path = work_folder(spark, "indexed-history")
+    events = testdata.table(spark, folder, "events").select("event_id", "ts", "user_id")
+    first = events.where(F.col("ts") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    second = events.where(F.col("ts") >= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
+    append_indexed(spark, path, first, 1, ["event_id"])
+    return append_indexed(spark, path, second, 2, ["event_id"])
+
+
+def _updated_months(spark: SparkSession, folder: str) -> DataFrame:
+    """Boards of dear postings of the first quarter are renamed where they are stored."""
+    path = work_folder(spark, "updated-by-month")
+    fact = testdata.postings(spark, folder).select("job_id", "job_via", "job_posted_date")
+    calendar.write_by_month(fact, path)
+    dear = testdata.table(spark, folder, "orders").where((F.month("o_orderdate") <= 3) & (F.col("o_totalprice") > 300000))
+    updates = dear.select(F.col("o_orderkey").alias("job_id"), F.lit("board X").alias("job_via"))
+    calendar.update_by_month(spark.read.parquet(path), path, updates, "job_id", "job_via")
+    return spark.read.parquet(path).select("job_id", "job_via", F.col("posted_month").cast("bigint"))
+
+
 def _changed_orders(spark: SparkSession, folder: str) -> DataFrame:
     orders = testdata.table(spark, folder, "orders")
     customers = testdata.table(spark, folder, "customer").where(F.col("c_mktsegment") == "BUILDING")
@@ -240,6 +260,20 @@ def _stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _stream_dedup_history(spark: SparkSession, folder: str) -> DataFrame:
+    """First arrivals of (user, kind) that the collection of the first weeks does not hold."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, intake.STATE_STORE)
+    try:
+        events = _event_stream(spark, folder).select("event_id", "user_id", "event_type")
+        stored = testdata.table(spark, folder, "events").where(F.col("ts") < F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
+        first = intake.dedup_against_history(events, ["user_id", "event_type"], ["event_id"], stored)
+        return intake.run_to_table(first, work_folder(spark, "first"), work_folder(spark, "first-state"))
+    finally:
+        spark.conf.unset(store) if before is None else spark.conf.set(store, before)
+
+
 def _stream_trend(spark: SparkSession, folder: str) -> DataFrame:
     counts = intake.window_counts(_event_stream(spark, folder), "ts", "event_type", "7 days", "60 days")
     return intake.window_shares(
@@ -351,9 +385,12 @@ def queries() -> dict[str, Query]:
         "conform_fact": _page_fact,
         "coverage_report": lambda spark, folder: conform.coverage_report(_page_star(spark, folder)),
         "append_history": _collections,
+        "append_history_indexed": _indexed_collections,
+        "update_by_month": _updated_months,
         "table_changes": _changed_orders,
         # Streams
         "stream_intake": _stream_intake,
         "stream_dedup": _stream_dedup,
+        "stream_dedup_history": _stream_dedup_history,
         "stream_trend": _stream_trend,
     }

@@ -496,6 +496,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT 2, event_id, ts, user_id FROM events
             WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND event_id NOT IN (
               SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00')""",
+        "append_history_indexed": """
+            SELECT 1 AS collection_id, event_id, ts, user_id FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00'
+            UNION ALL
+            SELECT 2, event_id, ts, user_id FROM events
+            WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND event_id NOT IN (
+              SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00')""",
+        "update_by_month": """
+            SELECT o_orderkey AS job_id, month(o_orderdate) AS posted_month,
+              CASE WHEN month(o_orderdate) <= 3 AND o_totalprice > 300000 THEN 'board X' ELSE 'board ' || o_orderstatus END AS job_via
+            FROM orders""",
         "compare_demand": f"""WITH {TABLES}, {halves}
             SELECT skill, b.postings AS postings_base, n.postings AS postings_new, COALESCE(b.share, 0) AS share_base,
               COALESCE(n.share, 0) AS share_new, GREATEST(share_base, share_new) AS rank_on,
@@ -510,6 +520,9 @@ def oracle_sql() -> dict[str, str]:
             FROM orders JOIN customer ON c_custkey = o_custkey""",
         "stream_intake": "SELECT 1 AS collection_id, event_id, ts, user_id, event_type FROM events",
         "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+        "stream_dedup_history": """
+            SELECT MIN(event_id) AS event_id, user_id, event_type FROM events
+            GROUP BY user_id, event_type HAVING COUNT(*) FILTER (ts < TIMESTAMP '2024-01-10 00:00:00') = 0""",
         "stream_trend": """WITH c AS (
               SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01 00:00:00') AS window_start, event_type AS item,
                 COUNT(*) AS postings FROM events GROUP BY 1, 2)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from postprism.functions.dates import as_instant, as_utc_wall_time
 from postprism.functions.measures import share_pct
@@ -51,6 +52,49 @@ def dedup_stream(stream: DataFrame, keys: Sequence[str], ts: str, repeat_within:
     return timed.dropDuplicatesWithinWatermark(list(keys)).drop("_instant")
 
 
+class _KeepFirst(StatefulProcessor):
+    """Emits a key's first row once; whether it was emitted, or is in the history, is the key's state."""
+
+    def __init__(self, order: Sequence[str]) -> None:
+        self._order = list(order)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        self._seen.update((True,))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        if self._seen.exists():
+            return
+        # The smallest by order, NULLs last; a batch's rows of one key are looked at one by one, not held.
+        first = min(rows, key=lambda row: [(row[name] is None, row[name] if row[name] is not None else 0) for name in self._order])
+        self._seen.update((True,))
+        yield first
+
+    def close(self) -> None:
+        pass
+
+
+# State on disk: transformWithState needs this store, and it holds more keys than an executor's memory.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def dedup_against_history(stream: DataFrame, keys: Sequence[str], order: Sequence[str], history: DataFrame | None = None) -> DataFrame:
+    """First arrivals per key that neither the stream so far nor ``history`` holds; nothing is ever forgotten.
+
+    Of a key's rows in one batch the smallest by ``order``, such as the feed's rank and the place in it, is kept; a row of a later
+    batch never replaces it. The state is one flag per key on disk, partitioned by key, and starts with the keys of ``history`` when the
+    query is started anew; a restarted query goes on from its checkpoint and does not read the history again. NULL keys are equal. The
+    session must use STATE_STORE.
+    """
+    spark = stream.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != STATE_STORE:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {STATE_STORE}")
+    seen = None if history is None else history.select(*keys).distinct().groupBy(*keys)
+    return stream.groupBy(*keys).transformWithState(_KeepFirst(order), stream.schema, "Append", "None", seen)
+
+
 def window_counts(stream: DataFrame, ts: str, item: str, width: str, late_by: str) -> DataFrame:
     """Rows per time window and item: window_start, item, postings.
 

@@ -58,6 +58,36 @@ def test_repeats_across_batches_are_dropped(spark, stream, tmp_path, zone):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+@pytest.fixture
+def state_on_disk(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", intake.STATE_STORE)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_repeats_are_never_forgotten(spark, stream, tmp_path, state_on_disk):
+    """History, repeats within and across batches, a stop and a restart, an early row that arrives late, and NULL keys."""
+    folder, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    history = spark.createDataFrame([("old", START), ("old", START)], "item string, ts timestamp_ntz")
+
+    def run():
+        first = intake.dedup_against_history(stream(), ["item"], ["event_id"], history)
+        return sorted(as_tuples(intake.run_to_table(first, out, state), "event_id", "item"), key=str)
+
+    land(spark, folder, "a", [(9, START, "x"), (4, START, "x"), (5, START, "old"), (6, START, None), (7, START, None)])
+    assert run() == [(4, "x"), (6, None)]
+    # Years later, and with a smaller id than what was kept.
+    land(spark, folder, "b", [(1, START + timedelta(days=3_000), "x"), (11, START, "y"), (12, START, "old")])
+    land(spark, folder, "c", [(2, START, "y"), (3, START, "z"), (13, START, None)])
+    assert run() == sorted([(4, "x"), (6, None), (11, "y"), (3, "z")], key=str) or run() == sorted([(4, "x"), (6, None), (2, "y"), (3, "z")], key=str)
+    assert len(run()) == 4  # nothing new
+
+
+def test_history_needs_its_state_store(spark, stream):
+    with pytest.raises(ValueError, match="providerClass"):
+        intake.dedup_against_history(stream(), ["item"], ["event_id"])
+
+
 def test_window_shares_over_batches(spark, stream, tmp_path):
     folder = str(tmp_path / "in")
     land(spark, folder, "a", [(i, START + timedelta(hours=i), "x" if i % 3 else "y") for i in range(6)])
