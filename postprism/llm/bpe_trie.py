@@ -188,29 +188,50 @@ def _byte_characters() -> list[str]:
 
 
 class Encoder:
-    """Encodes texts; remembers the words met so far, up to a bound."""
+    """Encodes texts; remembers the words met so far, up to a bound: their number, ids and decoded form."""
 
     def __init__(self, content: str) -> None:
         self.vocabulary = Vocabulary(content)
-        self.words: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self.known: dict[str | int, int] = {}  # the number of a word or, as a number, of a special token
+        self.ids = np.zeros(0, dtype=np.int32)  # of all known words, in the order of their numbers
+        self.ends = np.zeros(1, dtype=np.int64)
+        self.decoded: list[str] = []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
+        return self.encode_and_decode(texts)[0]
+
+    def encode_and_decode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+        """Ids of each text, and what these decode to: token strings joined by spaces, so words are put together decoded."""
         cut = [self._cut(text) for text in texts]
-        new = trimmed(self.words, (word for words in cut for word in words if isinstance(word, str)), _CACHED)
-        found = {word: [piece.encode() for piece in _PIECES.findall(_normal(word))] for word in new}
+        self._learn(chain.from_iterable(cut))
+        numbers = list(map(self.known.__getitem__, chain.from_iterable(cut)))
+        bounds = np.concatenate(([0], np.cumsum([len(words) for words in cut]))).tolist()
+        chosen = np.array(numbers, dtype=np.int64)
+        starts, lengths = self.ends[chosen], self.ends[chosen + 1] - self.ends[chosen]
+        before = np.concatenate(([0], np.cumsum(lengths)))
+        places = np.arange(before[-1]) + np.repeat(starts - before[:-1], lengths)
+        ids = np.split(self.ids[places], before[bounds[1:-1]])
+        form = self.decoded.__getitem__
+        return ids, [" ".join(map(form, numbers[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _learn(self, words: Iterable[str | int]) -> None:
+        held = len(self.known)
+        new = trimmed(self.known, words, _CACHED)
+        if len(self.known) < held:
+            self.ids, self.ends, self.decoded = self.ids[:0], self.ends[:1], []
+        found = {word: [piece.encode() for piece in _PIECES.findall(_normal(word))] for word in new if isinstance(word, str)}
         pieces = trimmed(self.pieces, chain.from_iterable(found.values()), _CACHED)
         for i in range(0, len(pieces), _INSERTED):
             self.pieces |= self.vocabulary.encode_pieces(pieces[i : i + _INSERTED])
-        for word, own in found.items():
-            self.words[word] = tuple(chain.from_iterable(map(self.pieces.__getitem__, own)))
-        special = {number: (number,) for number in self.vocabulary.special.values()}
-        known = self.words
-        return [
-            np.fromiter(chain.from_iterable([known[word] if isinstance(word, str) else special[word] for word in words]), dtype=np.int32)
-            for words in cut
-        ]
+        own = self.pieces.__getitem__
+        ids = [list(chain.from_iterable(map(own, found[word]))) if isinstance(word, str) else [word] for word in new]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(one) for one in ids], dtype=np.int64)))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), dtype=np.int32)))
+        string = self.vocabulary.strings.__getitem__
+        self.decoded += [" ".join(map(string, one)) for one in ids]
 
     def decode(self, ids: np.ndarray) -> str:
         """Token strings joined by a space: the vocabulary's file names no decoder."""
@@ -254,13 +275,13 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", tex
         encoder = _encoder(content.value)
         for batch in batches:
             for first, texts in parts(batch.column(1)):
-                ids = encoder.encode(texts)
+                ids, decoded = encoder.encode_and_decode(texts)
                 offsets = np.concatenate(([0], np.cumsum([len(own) for own in ids]))).astype(np.int32)
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(first, len(texts)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
-                        pa.array([encoder.decode(own) for own in ids], type=pa.string()),
+                        pa.array(decoded, type=pa.string()),
                     ],
                     names=["key", "ids", "decoded"],
                 )
