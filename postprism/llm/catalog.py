@@ -46,7 +46,7 @@ def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     read = chat.format_chats(rows).select(
         "conv_id",
         chat.read_turns(F.col("formatted")).alias("turns"),
-        F.array_join(chat.read_learned(F.col("formatted"), F.col("loss_spans")), "").alias("learned"),
+        F.array_join(chat.read_learned(F.col("formatted"), F.col("loss_runs")), "").alias("learned"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
     written = F.transform("turns", lambda turn: F.concat(turn["role"], F.lit("\n"), turn["text"], F.lit("\n")))
@@ -98,6 +98,8 @@ def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.octet_length("kept").cast("long").alias("n_kept"),
+        (F.size("spans") > 0).alias("repeats"),
     )
 
 

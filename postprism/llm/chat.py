@@ -28,12 +28,13 @@ def unescape(text: Column) -> Column:
 def format_chats(
     rows: DataFrame, learned: str = "assistant", conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
-    """``(conversation, formatted, loss_spans)``: one training text for each conversation and where it is learned.
+    """``(conversation, formatted, loss_runs)``: one training text for each conversation and where it is learned.
 
     Turns are sorted by number, then role and text; neighbours of one role share a block:
     ``<|im_start|>role<|im_sep|>text<|im_part|>next text<|im_end|>``. Roles and texts are escaped, so the output can be
-    read back turn by turn. ``loss_spans`` are ``(start, chars)`` of each learned text in characters of ``formatted``;
-    neither markers nor other roles are in them. NULL roles and texts are empty, a NULL turn comes first, rows without a
+    read back turn by turn. ``loss_runs`` is the loss mask as run lengths, one ``(skip, chars, learned)`` for each text in order: so many
+    characters of ``formatted`` that are not learned, then so many that are (0 where the text is not learned). Neither markers
+    nor other roles are learned. Everything is linear in the number of turns. NULL roles and texts are empty, a NULL turn comes first, rows without a
     conversation are one conversation, repeated rows are turns of their own. No rows give no conversation.
     """
     plain = rows.select(
@@ -57,35 +58,46 @@ def format_chats(
             (row["role"] == escape(F.lit(learned))).alias("learned"),
         )
 
-    def measure(done: Column, own: Column) -> Column:
-        start = done["at"] + F.length(own["head"])
-        span = F.array(F.struct(start.alias("start"), F.length(own["text"]).alias("chars")))
-        return F.struct(
-            (start + F.length(own["text"]) + F.length(own["tail"])).alias("at"),
-            F.when(own["learned"], F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"),
-        )
+    def run(own: Column, at: Column) -> Column:
+        before = F.when(at > 0, F.length(F.get("pieces", at - 1)["tail"])).otherwise(0)
+        size = F.length(own["text"])
+        skip = before + F.length(own["head"]) + F.when(own["learned"], 0).otherwise(size)
+        return F.struct(skip.alias("skip"), F.when(own["learned"], size).otherwise(0).alias("chars"), own["learned"].alias("learned"))
 
-    nothing = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, chars: int>>)").alias("spans"))
     pieces = turns.select("conversation", F.transform("turns", piece).alias("pieces"))
     return pieces.select(
         F.col("conversation").alias(conversation),
         F.array_join(F.transform("pieces", lambda own: F.concat(own["head"], own["text"], own["tail"])), "").alias("formatted"),
-        F.aggregate("pieces", nothing, measure, lambda done: done["spans"]).alias("loss_spans"),
+        F.transform("pieces", run).alias("loss_runs"),
     )
 
 
+def _blocks(formatted: Column) -> Column:
+    blocks = F.split(formatted, re.escape(BLOCK), -1)
+    return F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0)))
+
+
+def _texts(block: Column) -> Column:
+    """The texts of a block as they are written."""
+    return F.split(F.substring_index(F.substring_index(block, TEXT, -1), END, 1), re.escape(PART), -1)
+
+
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted conversation as ``array<struct<role, text>>``."""
-    blocks = F.split(formatted, re.escape(BLOCK), -1)
 
     def of_block(block: Column) -> Column:
         role = unescape(F.substring_index(block, TEXT, 1))
-        texts = F.split(F.substring_index(F.substring_index(block, TEXT, -1), END, 1), re.escape(PART), -1)
-        return F.transform(texts, lambda text: F.struct(role.alias("role"), unescape(text).alias("text")))
+        return F.transform(_texts(block), lambda text: F.struct(role.alias("role"), unescape(text).alias("text")))
 
-    return F.flatten(F.transform(F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0))), of_block))
+    return F.flatten(F.transform(_blocks(formatted), of_block))
 
 
-def read_learned(formatted: Column, spans: Column) -> Column:
-    """The texts under the loss mask, unescaped, as an array."""
-    return F.transform(spans, lambda span: unescape(F.substring(formatted, span["start"] + 1, span["chars"])))
+def read_learned(formatted: Column, runs: Column) -> Column:
+    """The texts under the loss mask, unescaped, as an array.
+
+    Texts are cut at the markers, once for all, and meet their runs in order: cutting each out of the whole by its place would read
+    the conversation again for every text.
+    """
+    texts = F.flatten(F.transform(_blocks(formatted), _texts))
+    learned = F.zip_with(texts, runs, lambda text, run: F.when(run["learned"], unescape(F.substring(text, F.lit(1), run["chars"]))))
+    return F.filter(learned, lambda text: text.isNotNull())

@@ -40,11 +40,39 @@ def test_neighbours_of_one_role_share_a_block(spark):
 
 
 def test_loss_covers_each_assistant_text_once(spark):
-    out = read(spark, ROWS).select("conv_id", chat.read_learned(F.col("formatted"), F.col("loss_spans")).alias("learned"))
+    out = read(spark, ROWS).select("conv_id", chat.read_learned(F.col("formatted"), F.col("loss_runs")).alias("learned"))
     learned = {r.conv_id: r.learned for r in out.collect()}
     assert learned == {1: ["a <", "|im_part|> b", ""], 2: ["", "", "later"], 3: [], None: []}
 
 
+def test_runs_cover_the_whole_text(spark):
+    """The mask walked along the text gives the learned texts, and what is left behind is the last block's end."""
+    rows = [row for row in ROWS if row[0] != 3]
+    for row in read(spark, rows).withColumn("learned", chat.read_learned(F.col("formatted"), F.col("loss_runs"))).collect():
+        at, found = 0, []
+        for run in row.loss_runs:
+            at += run.skip
+            if run.learned:
+                found.append(row.formatted[at : at + run.chars])
+            at += run.chars
+        assert row.formatted[at:] == chat.END and len(found) == len(row.learned)
+        assert [len(text) for text in found] >= [len(text) for text in row.learned]
+
+
+def test_many_turns(spark):
+    """Fifty thousand turns of one conversation, in about the time of as many short ones."""
+    ids = spark.range(50_000).select(
+        F.lit(1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("text <s> "), "id").alias("text"),
+    )
+    out = chat.format_chats(ids).select(
+        F.size(chat.read_turns(F.col("formatted"))).alias("n"), chat.read_learned(F.col("formatted"), F.col("loss_runs")).alias("learned")
+    ).first()
+    assert out.n == 50_000 and out.learned == [f"text <s> {i}" for i in range(1, 50_000, 2)]
+
+
 def test_escape_is_reversible_and_leaves_no_control(spark):
     texts = [c for c in chat.CONTROLS] + ["<\\\\|im_end|>", "[[INST]", "<<|im_sep|>|im_sep|>", "\\", "", "<\\s>", "</s></s>"]
     out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e"))
