@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -128,6 +130,14 @@ def load_audit(rows: DataFrame, postings: DataFrame, star: Star) -> DataFrame:
     return reduce(DataFrame.unionByName, counts, first)
 
 
+def observed(measures: Observation) -> defaultdict[str, int]:
+    """The counts that were taken; all are zero where the optimiser saw that there are no rows, as nothing is run and observed then."""
+    try:
+        return defaultdict(int, measures.get)
+    except Py4JJavaError:
+        return defaultdict(int)
+
+
 def load_star(rows: DataFrame, write: Callable[[Star], None]) -> DataFrame:
     """Build a star, hand it to ``write``, and return the row counts of the load: metric, rows.
 
@@ -141,14 +151,15 @@ def load_star(rows: DataFrame, write: Callable[[Star], None]) -> DataFrame:
     counted = [table.observe(tables[name], F.count(F.lit(1)).alias("rows")) for name, table in star.tables().items()]
     company, skill, fact, bridge = counted
     write(Star(fact, company, skill, bridge))
+    read, placed = observed(source), observed(kept)
     # Metric names.
     found = {
-        "source rows": source.get["_source"],
-        "with rejected values": source.get["_rejected"],
-        "duplicates removed": source.get["_source"] - kept.get["kept"],
-        "no company, dropped": kept.get["nameless"],
+        "source rows": read["_source"],
+        "with rejected values": read["_rejected"],
+        "duplicates removed": read["_source"] - placed["kept"],
+        "no company, dropped": placed["nameless"],
     }
-    found |= {name: table.get["rows"] for name, table in tables.items()}
+    found |= {name: observed(table)["rows"] for name, table in tables.items()}
     return rows.sparkSession.createDataFrame(list(found.items()), "metric string, rows bigint")
 
 

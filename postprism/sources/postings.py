@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postprism import schemas
+from postprism.operators.prepare import observed
 from postprism.sources.records import read_quoted_csv
 from postprism.star import Star
 
@@ -129,5 +130,5 @@ def run_catalog(star: Star, analyses: Mapping[str, Callable[[Star], DataFrame]],
         written = Observation()
         result = analysis(star).observe(written, F.count(F.lit(1)).alias("rows"))
         result.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/{name}")
-        filled[name] = written.get["rows"] > 0
+        filled[name] = observed(written)["rows"] > 0
     return filled
