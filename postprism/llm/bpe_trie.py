@@ -21,8 +21,9 @@ from postprism.llm.words import parts, split_words, trimmed
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 _END = "</w>"
 _LEAF = -1  # a trie node's entry for a piece that ends there
-_CACHED = 200_000  # words and pieces a worker remembers
+_CACHED = 500_000  # words and pieces a worker remembers
 _INSERTED = 20_000  # pieces per trie
+_PART = 2 << 20  # characters encoded together
 
 
 class Vocabulary:
@@ -274,7 +275,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", tex
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content.value)
         for batch in batches:
-            for first, texts in parts(batch.column(1)):
+            for first, texts in parts(batch.column(1), _PART):
                 ids, decoded = encoder.encode_and_decode(texts)
                 offsets = np.concatenate(([0], np.cumsum([len(own) for own in ids]))).astype(np.int32)
                 yield pa.record_batch(
