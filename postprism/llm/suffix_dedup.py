@@ -176,8 +176,8 @@ def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for bucket in range(257):
         done = 0
         while done < len(front[bucket]):  # grows while its own suffixes' predecessors join it
-            hand_on(front[bucket][done], bucket)
-            done += 1
+            waiting, done = np.concatenate(front[bucket][done:]), len(front[bucket])
+            hand_on(waiting, bucket)
         sorted_directly = ordered[bounds[bucket] : bounds[bucket + 1]]
         result += [*front[bucket], sorted_directly]
         hand_on(sorted_directly, bucket)
@@ -185,15 +185,33 @@ def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_prefixes(suffixes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """Bytes that each suffix shares with the one before it, LENGTH at most and never past a text's end."""
+    """Bytes that each suffix shares with the one before it, LENGTH at most and never past a text's end.
+
+    Where two neighbours in the order begin with the same byte and the suffixes one byte further are neighbours too, the first two
+    share one byte more than those. So only the last of each such chain of places is compared byte by byte.
+    """
+    before = np.full(len(symbols), -1, dtype=np.int64)
+    before[suffixes[1:]] = suffixes[:-1]
+    further = (before[:-1] >= 0) & (before[1:] == before[:-1] + 1) & (symbols[:-1] > 0) & (symbols[:-1] == symbols[before[:-1]])
+    compared = np.flatnonzero(~np.append(further, False))
+    shared = np.zeros(len(symbols), dtype=np.int64)
+    paired = compared[before[compared] >= 0]
+    shared[paired] = _shared_bytes(before[paired], paired, symbols)
+    places = np.arange(len(symbols))
+    last = compared[np.searchsorted(compared, places)]
+    return np.minimum(shared[last] + last - places, LENGTH)[suffixes]
+
+
+def _shared_bytes(a: np.ndarray, b: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Bytes that the suffixes at ``a`` and ``b`` share, LENGTH at most, eight at a time."""
     ends = np.flatnonzero(symbols == 0)
-    rest = ends[np.searchsorted(ends, suffixes)] - suffixes
-    most = np.minimum(np.minimum(rest[1:], rest[:-1]), LENGTH)
+    most = np.minimum(ends[np.searchsorted(ends, a)] - a, ends[np.searchsorted(ends, b)] - b)
+    most = np.minimum(most, LENGTH)
     raw = np.concatenate((symbols, np.zeros(8, dtype=symbols.dtype)))
     raw = np.where(raw > 0, raw - 1, 0).astype(np.uint8)
     words = np.ndarray(len(symbols), dtype="<u8", buffer=raw, strides=(1,))
-    shared = np.zeros(len(suffixes), dtype=np.int64)
-    open_pairs, a, b, found = np.arange(len(most)), suffixes[:-1], suffixes[1:], shared[1:]
+    found = np.zeros(len(a), dtype=np.int64)
+    open_pairs = np.arange(len(a))
     for depth in range(0, LENGTH, 8):
         open_pairs = open_pairs[most[open_pairs] > depth]
         if not len(open_pairs):
@@ -205,8 +223,7 @@ def common_prefixes(suffixes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         same[unequal] = np.bitwise_count(lowest - np.uint64(1)) // 8
         found[open_pairs] += same
         open_pairs = open_pairs[~unequal]
-    found[:] = np.minimum(found, most)
-    return shared
+    return np.minimum(found, most)
 
 
 def repeated_starts(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
