@@ -20,7 +20,6 @@ from postprism.llm.words import parts, split_words, trimmed
 # Fixed value: how the vocabulary's file cuts normalised text into pieces (pieces hold no white space here).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 _END = "</w>"
-_LEAF = -1  # a trie node's entry for a piece that ends there
 _CACHED = 500_000  # words and pieces a worker remembers
 _INSERTED = 20_000  # pieces per trie
 _PART = 2 << 20  # characters encoded together
@@ -122,62 +121,48 @@ class Vocabulary:
             self.meets[key] = known
         return known
 
-    def last_token(self, ends: tuple[tuple[int, int], ...], last: list[int]) -> int:
-        """The last token of the encoding of a text of ``len(last)`` bytes, given the tokens it may end with, longest
-        first, and the last tokens of all shorter prefixes, from the empty one.
+    def encode_pieces(self, pieces: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
+        """Token ids of distinct pieces, by a depth-first walk of the trie of their prefixes.
 
-        An encoding is the one sequence in which every two neighbours may meet, so exactly one token fits.
-        """
-        size = len(last)
-        meets = self.meets
-        for token, length in ends:
-            left = last[size - length]
-            if meets.get((left + 1) << 20 | token) or self.may_meet(left, token):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
+        Pieces are inserted in sorted order, which is the walk's own order, so only the open path is held: what a piece shares
+        with the one before stays, the rest is left for good. Each prefix gets its last token once, whatever number of pieces share it.
 
-    def encode_pieces(self, pieces: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Token ids of distinct pieces. They are put in a trie whose nodes are prefixes; a walk in depth-first order
-        finds each prefix's last token once, whatever number of pieces share it. A piece's encoding is read backwards from
-        its own last token: a token's start is a prefix whose last token is known."""
-        trie: dict = {}
-        for piece in pieces:
-            node = trie
-            for value in piece:
-                node = node.setdefault(value, {})
-            node[_LEAF] = None
+        An encoding is the one sequence in which every two neighbours may meet, so of the tokens a prefix may end with exactly one
+        fits the last token of what stands before it. A piece's encoding is read backwards from its own last token.
+        """
+        following, fallback, lengths = self.following, self.fallback, self.lengths
+        inner_ends, final_ends, meets = self.inner_ends, self.final_ends, self.meets
         encoded: dict[bytes, tuple[int, ...]] = {}
-        prefix, last, states = bytearray(), [-1], [0]
-        open_nodes = [iter(trie.items())]
-        lengths, final_ends, inner_ends = self.lengths, self.final_ends, self.inner_ends
-        while open_nodes:
-            entry = next(open_nodes[-1], None)
-            if entry is None:
-                open_nodes.pop()
-                if prefix:
-                    prefix.pop()
-                    last.pop()
-                    states.pop()
-                continue
-            value, child = entry
-            if value == _LEAF:
-                own = last.pop()  # the piece ends here: its last byte is a final one
-                token = self.last_token(final_ends[states[-1]], last)
-                tokens, size = [token], len(prefix) - lengths[token]
-                while size:
-                    token = last[size]
-                    tokens.append(token)
-                    size -= lengths[token]
-                last.append(own)
-                tokens.reverse()
-                encoded[bytes(prefix)] = tuple(tokens)
-                continue
-            prefix.append(value)
-            state = self.step(states[-1], value)
-            states.append(state)
-            # a prefix that only leads to its own end as a piece needs no inner state
-            last.append(-2 if len(child) == 1 and _LEAF in child else self.last_token(inner_ends[state], last))
-            open_nodes.append(iter(child.items()))
+        last, states, before = [-1], [0], b""  # of the prefixes on the path, from the empty one
+        for piece in sorted(pieces):
+            size = len(piece)
+            most = min(len(last), size) - 1
+            shared = 0
+            while shared < most and before[shared] == piece[shared]:
+                shared += 1
+            del last[shared + 1 :], states[shared + 1 :]
+            before, state = piece, states[shared]
+            for at in range(shared, size):
+                value = piece[at]
+                while (after := following[state].get(value)) is None and state:
+                    state = fallback[state]
+                state = after or 0
+                ends = inner_ends if at + 1 < size else final_ends
+                for token, length in ends[state]:
+                    left = last[at + 1 - length]
+                    if meets.get((left + 1) << 20 | token) or self.may_meet(left, token):
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks a byte")
+                if at + 1 < size:  # a whole piece is no prefix yet
+                    last.append(token)
+                    states.append(state)
+            tokens, rest = [token], size - lengths[token]
+            while rest:
+                token = last[rest]
+                tokens.append(token)
+                rest -= lengths[token]
+            encoded[piece] = tuple(reversed(tokens))
         return encoded
 
 
@@ -222,12 +207,15 @@ class Encoder:
         new = trimmed(self.known, words, _CACHED)
         if len(self.known) < held:
             self.ids, self.ends, self.decoded = self.ids[:0], self.ends[:1], []
-        found = {word: [piece.encode() for piece in _PIECES.findall(_normal(word))] for word in new if isinstance(word, str)}
+        found = {word: _pieces(word) for word in new if isinstance(word, str)}
         pieces = trimmed(self.pieces, chain.from_iterable(found.values()), _CACHED)
         for i in range(0, len(pieces), _INSERTED):
             self.pieces |= self.vocabulary.encode_pieces(pieces[i : i + _INSERTED])
-        own = self.pieces.__getitem__
-        ids = [list(chain.from_iterable(map(own, found[word]))) if isinstance(word, str) else [word] for word in new]
+        own = self.pieces
+        ids = [
+            (word,) if isinstance(word, int) else own[cut[0]] if len(cut := found[word]) == 1 else [i for one in cut for i in own[one]]
+            for word in new
+        ]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(one) for one in ids], dtype=np.int64)))
         self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), dtype=np.int32)))
@@ -251,6 +239,12 @@ class Encoder:
         return out + split_words(text[at:])
 
 
+def _pieces(word: str) -> list[bytes]:
+    if word.isascii() and word.isalpha():
+        return [word.lower().encode()]
+    return [piece.encode() for piece in _PIECES.findall(_normal(word))]
+
+
 def _normal(word: str) -> str:
     """Composed and lower-cased character by character: a final sigma is not told apart."""
     if word.isascii():
