@@ -51,20 +51,27 @@ def clean_text(column: Column) -> Column:
     return F.nullif(strip_space(column), F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def _decode_entities(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+# Fixed value: what Python's html.unescape() takes for a character reference, each on its own.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _decode_references(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda references: [html.unescape(one) for one in references], na_action="ignore")
 
 
 def strip_markup(column: Column) -> Column:
     """Markup to plain text: tags become blanks, character references are decoded, ends are trimmed.
 
-    Spark has no function for HTML character references. Only texts that hold an ampersand are sent
-    to the Arrow helper; the others travel as NULL and keep their JVM value.
+    Spark has no function for HTML character references. Only the references themselves are sent to the Arrow helper, so its
+    memory does not depend on the texts' length; what lies between them stays in the JVM.
     """
     untagged = F.regexp_replace(F.coalesce(column, F.lit("")), "<[^>]+>", " ")
-    encoded = F.when(untagged.contains("&"), untagged)
-    return strip_space(F.coalesce(_decode_entities(encoded), untagged))
+    references = F.regexp_extract_all(untagged, F.lit(REFERENCE), F.lit(0))
+    decoded = _decode_references(F.when(F.size(references) > 0, references))
+    between = F.split(untagged, REFERENCE, -1)
+    whole = F.array_join(F.zip_with(between, decoded, lambda text, one: F.concat(text, F.coalesce(one, F.lit("")))), "")
+    return strip_space(F.coalesce(whole, untagged))
 
 
 def joined(items: Column) -> Column:

@@ -105,3 +105,25 @@ def test_rules_are_an_argument(spark):
     got = as_tuples(df.select(classify_title(F.col("t"), [("x", "X"), ("y", "Y")], other="none")))
     assert got == [("X",), ("Y",), ("none",)]
     assert as_tuples(df.select(classify_title(F.col("t"), [])).distinct()) == [("Other",)]
+
+
+def test_only_references_reach_the_helper(spark):
+    """Memory of the Python workers follows the references, not the texts."""
+    from postprism.functions import text
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<string>")
+    def watched(lists):
+        seen.add(sum(len(one) for references in lists if references is not None for one in references))
+        return lists.map(lambda references: [html.unescape(one) for one in references], na_action="ignore")
+
+    texts = ["word " * 5_000 + "a &amp; b &#x41;&#66 &notit; &unknown; && &", "&lt;", "&#32;", "plain", None, "x &amp;lt; y\r&eacute\r"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    kept, text._decode_references = text._decode_references, watched
+    try:
+        got = {row.i: row.t for row in rows.select("i", strip_markup(F.col("t")).alias("t")).collect()}
+    finally:
+        text._decode_references = kept
+    assert got == {i: html.unescape(t or "").strip() for i, t in enumerate(texts)}
+    assert 0 < seen.value < 100
