@@ -24,6 +24,7 @@ from postprism.streaming import intake
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROLE = testdata.MAIN_ROLE
+FILE_POSTINGS = 1_000_000  # one posting file a million postings
 COLLECTED_AT = datetime(2024, 2, 1, 12, 0, 0)
 SPLIT_DATE = "1998-04-15 00:00:00"
 # Words and rules for the test titles; the SQL states its own.
@@ -113,11 +114,15 @@ def _csv_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _csv_in_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """One file whose titles hold line breaks, commas and quotes, read in parts."""
+    """Files whose titles hold line breaks, commas and quotes, read in parts; one file up to so many postings.
+
+    The rows are shuffled to the files, not joined and sorted by the task that writes a file.
+    """
     path = work_folder(spark, "postings-csv-parts")
     title = F.concat(F.lit('"'), F.col("job_title"), F.lit('", noted\n'), F.col("job_via"))
     rows = testdata.wide_rows(spark, folder).withColumn("job_title", title)
-    rows.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    files = testdata.table(spark, folder, "orders").count() // FILE_POSTINGS + 1
+    rows.repartition(files, "job_posted_date", "company_name").write.option("header", True).option("escape", '"').csv(path)
     return _plain(postings.read_postings_csv(spark, path, whole_file_bytes=0).drop(postings.REJECTED))
 
 

@@ -139,3 +139,18 @@ def test_header_only_and_empty(spark, tmp_path):
     assert read_quoted_csv(spark, str(tmp_path / "h.csv")).count() == 0
     (tmp_path / "e.csv").write_text("")
     assert read_quoted_csv(spark, str(tmp_path / "e.csv")).count() == 0
+
+
+def test_posting_files_are_bounded_and_written_without_joins(spark, monkeypatch):
+    """The task that writes a file neither joins nor sorts, and there are more files for more postings; the rows stay."""
+    from postprism.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    paths, kept = [], catalog.work_folder
+    monkeypatch.setattr(catalog, "work_folder", lambda session, label: paths.append(kept(session, label)) or paths[-1])
+    whole = catalog._csv_in_parts(spark, folder)
+    monkeypatch.setattr(catalog, "FILE_POSTINGS", 500)
+    parts = catalog._csv_in_parts(spark, folder)
+    one, several = (len({row[0] for row in spark.read.text(path).select("_metadata.file_name").distinct().collect()}) for path in paths)
+    assert one == 1 and several > 2
+    assert whole.exceptAll(parts).isEmpty() and parts.exceptAll(whole).isEmpty()
