@@ -163,7 +163,7 @@ def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
 def land_payloads(spark: SparkSession, folder: str, per_payload: int = 500) -> dict[str, str]:
     """Pages and documents written as landed payloads of the four feed shapes; returns feed -> folder.
 
-    One file per payload of at most ``per_payload`` items, as an API would page them.
+    One packed file per payload of at most ``per_payload`` items, as an API would page and send them.
     """
     url, html = F.col("url"), F.col("html")
     title = F.regexp_extract(html, "(?s)<title>(.*?)</title>", 1)
@@ -195,7 +195,9 @@ def land_payloads(spark: SparkSession, folder: str, per_payload: int = 500) -> d
     }
     landed = {}
     for feed, (rows, number, key, envelope, item) in items.items():
-        grouped = rows.groupBy(F.format_string("%09d", number).alias("payload_no")).agg(
+        # The table's columns move once, before texts are repeated in the items.
+        dealt = rows.withColumn("payload_no", F.format_string("%09d", number)).repartition("payload_no")
+        grouped = dealt.groupBy("payload_no").agg(
             F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), item.alias("item")))).alias("rows")
         )
         payload = F.transform("rows", lambda row: F.to_json(row["item"]))
@@ -206,5 +208,5 @@ def land_payloads(spark: SparkSession, folder: str, per_payload: int = 500) -> d
             # The list's first item is the feed's own notice.
             text = F.concat(F.lit('[{"legal":"terms of use"},\n'), F.array_join(payload, ",\n"), F.lit("]"))
         landed[feed] = work_folder(spark, f"landed-{feed}")
-        grouped.select(text.alias("value"), "payload_no").write.partitionBy("payload_no").text(landed[feed])
+        grouped.select(text.alias("value"), "payload_no").write.partitionBy("payload_no").text(landed[feed], compression="gzip")
     return landed

@@ -166,3 +166,16 @@ def test_keep_first_with_a_hot_key(spark):
     kept = conform.keep_first(rows.repartition(7), conform.posting_key())
     assert kept.count() == 6001
     assert as_tuples(kept.where("company = 'ACME'"), "arrival", "title") == [(0, "Data Analyst")]
+
+
+def test_landed_payloads_are_packed(spark):
+    """What is landed takes less room than the texts it holds, and every item is read back."""
+    from postprism.sources import feeds, testdata
+
+    folder = "/root/testdata/sf0.001"
+    landed = testdata.land_payloads(spark, folder)
+    size = {name: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).selectExpr("sum(length)").first()[0] for name, path in landed.items()}
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    assert size["jobicy"] < documents.selectExpr("sum(octet_length(text))").first()[0]
+    records, problems = feeds.read_feeds(spark, landed)
+    assert not problems and records.where("source = 'jobicy'").count() == documents.count()
