@@ -165,7 +165,7 @@ def extract_terms(
     ``vocabulary`` holds skill_id and skills (the term). Texts become an index of short rows: their distinct words, and the places of those
     neighbouring words, signs and words with signs that some term has. It meets the terms' keys by equality, so cost follows the matches, not texts x terms, and overlapping terms
     are all found. A term of more than two words occurs where all its keys lie at their distances from one place: the matches are
-    counted per (text, place - distance, term). So no text is read again or shuffled, and no pattern is run per term. The keys are
+    counted per (text, place - distance, term). Matches are stored once, so no text is read again or shuffled, and no pattern is run per term. The keys are
     broadcast within a checked size; beyond it the index rows are shuffled by key, heavy keys apart, with the same result. Texts
     with a NULL id or text are left out; texts with one id are taken together, but a term lies within one of them.
     """
@@ -206,6 +206,8 @@ def extract_terms(
     fitting = F.when(F.col("at").isNull(), F.col("terms")).otherwise(F.filter("terms", fits))
     met = lookup_join(rows, wanted, "key", broadcast_terms).select("_id", "_text", "at", F.explode(fitting).alias("term"))
     met = met.select("_id", "_text", (F.col("at") - F.col("term.at")).alias("place"), "term.*")
+    if (kinds["keys"] or 0) > 1:
+        met = materialise(met, "term-matches")  # read twice: terms of one key and of several
     found = met.where("keys = 1").select("_id", "skill_id")
     if (kinds["keys"] or 0) > 1:
         longer = met.where("keys > 1").groupBy("_id", "_text", "place", "skill_id").agg(F.size(F.collect_set("at")).alias("n"), F.first("keys").alias("keys"))

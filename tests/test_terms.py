@@ -87,3 +87,19 @@ def test_usable_vocabulary(spark):
     frame = spark.createDataFrame([(i, word) for i, word in enumerate(words)], "skill_id long, skills string")
     got = {row[1] for row in as_tuples(usable_vocabulary(frame))}
     assert got == {w for w in words if w not in AMBIGUOUS and not (len(w) < 3 and w.isalpha())}
+
+
+@pytest.mark.parametrize("broadcast_terms", [1_000, 0])
+def test_texts_are_read_once(spark, data, broadcast_terms):
+    """Also where the vocabulary holds terms of one word and of several."""
+    _, terms, text_rows, term_rows = data
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    rows = text_rows.count()
+    extract_terms(text_rows.mapInPandas(counted, text_rows.schema), term_rows, "doc", broadcast_terms=broadcast_terms).collect()
+    assert any(" " in term for _, term in terms) and read.value == rows
